@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import pieces, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {"op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
