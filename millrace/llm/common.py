@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -38,8 +39,9 @@ def map_texts(
     key: str = "doc_id",
     text: str = "text",
     limit: int = CHUNK_CHARS,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Apply a function of (keys, texts) to bounded batches of whole texts.
+    """Apply a function of (keys, texts, *more) to bounded batches of whole texts.
 
     ``make()`` runs once in each task and returns the function, so tables and caches live as long as the task.
     Only the two named columns are read; other columns of ``docs`` are neither needed nor touched.
@@ -50,14 +52,15 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for batch in batches:
-            keys, column = batch.column(0).to_pylist(), batch.column(1)
-            sizes = column.to_pylist()
-            for lo, hi in spans(sizes, limit):
-                out = call(keys[lo:hi], sizes[lo:hi])
+            columns = [c.to_pylist() for c in batch.columns]
+            for lo, hi in spans(columns[1], limit):
+                out = call(*[c[lo:hi] for c in columns])
                 for part in [out] if isinstance(out, dict) else out:
-                    yield pa.RecordBatch.from_arrays([pa.array(part[f.name], type=f.type) for f in arrow], schema=arrow)
+                    arrays = [x if isinstance(x := part[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, fields)
+    read = [docs[key].alias("key"), docs[text].cast("string").alias("text"), *[docs[c] for c in more]]
+    return docs.select(read).mapInArrow(run, fields)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,4 +73,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files go that no table refers to any more; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

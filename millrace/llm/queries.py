@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, simhash
+from . import pieces, simhash, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash}
+    found = (op1_sentencepiece, op7_simhash, op9_substring)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
