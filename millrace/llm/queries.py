@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licences, packing, pieces, quality, simhash, substring, toxicity
+from . import chat, chroma, langid, licences, packing, pieces, quality, simhash, substring, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.match(chroma.recordings(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_sentencepiece,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         op7_simhash,
         op8_chat,
         op9_substring,
+        op10_chroma,
     )
     return {f.__name__: f for f in found}
 
