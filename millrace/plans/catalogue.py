@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import functions as fn
+from millrace import streaming
 from millrace.operators import actions, exact, memory, metrics, patterns, temporal
 from millrace.operators.rule import Rule
 from millrace.sources import load_events, resume
+from millrace.streaming.once import available, events_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,3 +485,25 @@ def orders_placed_unshipped(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     within = (line["l_shipdate"] >= o["o_orderdate"]) & (line["l_shipdate"] <= o["o_orderdate"] + F.expr("interval 30 days"))
     return o.join(line, (o["o_orderkey"] == line["l_orderkey"]) & within, "left_anti")
+
+
+# --- streams ------------------------------------------------------------------------------------------------------------
+
+@query(f"{TWO} SELECT event_id AS first_id, nid AS last_id FROM a WHERE nts <= deadline")
+def stream_sequence(spark, sf_dir):
+    """The exact engine in keyed state over a file stream."""
+    made = available(streaming.run(events_stream(spark, sf_dir), [SIGNUP_BUY], "user_id"), "stream-sequence")
+    return made.where("phase = 'complete'").select("first_id", "last_id")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, count(*) AS n_events FROM events GROUP BY ALL
+HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_counts(spark, sf_dir):
+    """Hours that the watermark has closed."""
+    return available(streaming.counts(events_stream(spark, sf_dir), "1 hour"), "stream-counts").withColumns(ntz("start"))
+
+
+@query(f"SELECT * FROM ({SESSIONS}) WHERE last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events WHERE event_type IN ('click', 'view'))")
+def stream_sessions(spark, sf_dir):
+    made = streaming.sessions(events_stream(spark, sf_dir), {"click", "view"}, "user_id", "12 hours")
+    return available(made, "stream-sessions").withColumns(ntz("first_ts", "last_ts"))

@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.exact import OUTCOME, event_of, frame, outcome_rows
-from millrace.operators.fold import Engine, Instance
+from millrace.operators.fold import Engine, Event, Instance
 from millrace.operators.rule import ANY, Rule
 
 STATE = "saved binary"
 
 
 def save(engine: Engine) -> bytes:
-    """Waiting instances with their timeouts; rules are named, not stored."""
-    rows = [(i.rule.name, i.chain, i.step, i.seen, i.first, i.timeout, i.context) for i in engine.waiting]
+    """Waiting instances with their timeouts, as plain values; rules are named, not stored."""
+    rows = []
+    for i in engine.waiting:
+        chain = [(e.event, e.datetime, e.id, e.data) for e in i.chain]
+        rows.append((i.rule.name, chain, i.step, i.seen, i.first, i.timeout, i.context))
     return pickle.dumps((rows, engine.clock, engine.stats))
 
 
@@ -28,7 +31,9 @@ def restore(saved: bytes, rules: list[Rule]) -> Engine:
     """Instances of rules that aren't registered any more are left out."""
     engine, by_name = Engine(rules), {r.name: r for r in rules}
     rows, engine.clock, engine.stats = pickle.loads(saved)
-    engine.waiting = [Instance(by_name[n], *rest) for n, *rest in rows if n in by_name]
+    for name, chain, *rest in rows:
+        if name in by_name:
+            engine.waiting.append(Instance(by_name[name], [Event(*e) for e in chain], *rest))
     return engine
 
 
