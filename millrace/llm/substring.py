@@ -5,7 +5,7 @@ Every window of WINDOW words is represented by an anchor: the hash of that GRAM-
 the hashes stand for all windows. The index is a set of immutable runs, each sorted by hash with its number of
 occurrences; a batch is appended as a run, runs are compacted by merging, and a batch is merge-joined with the runs to
 find anchors that occur more than once. Only windows on such anchors are candidates; they are verified by two independent
-64-bit fingerprints over their whole word sequence, counted over all candidates. What is removed is thus decided by
+fingerprints (64 and 32 bits) over their whole word sequence, counted over all candidates. What is removed is thus decided by
 whole windows, never by anchors, and no window is capped or sampled.
 
 Defined results: a null or wordless text has no words and stays as it is; texts under WINDOW words lose nothing; repeated
@@ -184,17 +184,18 @@ def windows(candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             # A hash counts for its own document, but one that another document of the batch brings is repeated, too.
             wanted = np.unique(np.concatenate([np.array(h, np.int64) for h in hashes] or [np.zeros(0, np.int64)]))
             start = start[np.isin(grams[at].view(np.int64), wanted)] if len(start) else start
-            h = [rolled(lanes[:, k], window, BASE[k])[start].view(np.int64) for k in (0, 1)]
+            h1 = rolled(lanes[:, 0], window, BASE[0])[start].view(np.int64)
+            h2 = (rolled(lanes[:, 1], window, BASE[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             first = np.r_[0, np.cumsum([len(w) for w in split])]
             owner = doc[start] if len(start) else start
             row = np.array(rows, np.int64)[owner]
             for i in range(0, len(start), 1 << 18):
                 part = slice(i, i + (1 << 18))
-                yield {"row": row[part], "start": (start - first[owner])[part], "h1": h[0][part], "h2": h[1][part]}
+                yield {"row": row[part], "start": (start - first[owner])[part], "h1": h1[part], "h2": h2[part]}
 
         return call
 
-    return map_texts(candidates, make, "row long, start int, h1 long, h2 long", key="row", more=("hashes",))
+    return map_texts(candidates, make, "row long, start int, h1 long, h2 int", key="row", more=("hashes",))
 
 
 def removed(n: int, starts: list[int] | None, window: int) -> np.ndarray:
@@ -206,16 +207,24 @@ def removed(n: int, starts: list[int] | None, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Sketches of all documents, and (doc_id, mark, text, starts) of those with repeated windows."""
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: sketches of all documents; (whole_sha256) of the word sequences that several rows have, of a window
+    at least; (doc_id, mark, text, starts) of the documents with repeated windows among the others.
+
+    Rows with the same words repeat each other wholly, so one of them stands for all in the search of windows.
+    """
     spark = docs.sparkSession
     sketch = durable(sketches(docs, window, gram), "sketches")
+    long = sketch.where(F.col("n_words") >= window)
+    one = F.first(F.struct("doc_id", "mark", "hashes")).alias("one")
+    distinct = long.groupBy("whole_sha256").agg(F.count("*").alias("copies"), one)
+    distinct = durable(distinct.select("whole_sha256", "copies", "one.*"), "distinct")
     index = FingerprintIndex(spark)
-    owned = sketch.select("doc_id", "mark", F.explode("hashes").alias("hash"))
+    owned = distinct.select("doc_id", "mark", F.explode("hashes").alias("hash"))
     for k in range(BATCHES):  # every document is in one of the batches
         index.append(owned.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BATCHES)) == k).select("hash"))
     index.compact()
-    hit = index.hits(owned).groupBy("doc_id", "mark").agg(F.collect_set("hash").alias("hashes"))
+    hit = durable(index.hits(owned).groupBy("doc_id", "mark").agg(F.collect_set("hash").alias("hashes")), "hits")
     texts = marked(docs)
     candidates = texts.join(hit, same_row(texts, hit)).select(texts["doc_id"], texts["mark"], "text", "hashes")
     candidates = durable(candidates.withColumn("row", F.monotonically_increasing_id()), "candidates")
@@ -224,28 +233,44 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     twice = durable(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
     starts = found.join(twice, ["h1", "h2"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
     starts = durable(starts, "starts")
-    return sketch, candidates.join(starts, "row").select("doc_id", "mark", "text", "starts")
+    twins = distinct.where("copies > 1").select("whole_sha256")
+    return sketch, twins, candidates.join(starts, "row").select("doc_id", "mark", "text", "starts")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    sketch, hit = repeats(docs, window, gram)
+def changes(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all documents, and (doc_id, mark, n_removed, kept) of each that loses words.
+
+    kept is the text of the words that stay, joined by one space, or with ``digest`` its SHA-256.
+    """
+    sketch, twins, hit = repeats(docs, window, gram)
 
     def make():
         def call(keys: list, texts: list, marks: list, starts: list) -> dict:
-            out = {"doc_id": keys, "mark": marks, "n_removed": [], "kept_sha256": []}
+            out = {"doc_id": keys, "mark": marks, "n_removed": [], "kept": []}
             for text, at in zip(texts, starts, strict=True):
                 words = split_words(text)
                 gone = removed(len(words), at, window)
                 out["n_removed"].append(int(gone.sum()))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["kept"].append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
             return out
 
         return call
 
-    schema = "doc_id long, mark long, n_removed long, kept_sha256 string"
-    changed = map_texts(hit, make, schema, more=("mark", "starts")).dropDuplicates(["doc_id", "mark"])
+    some = map_texts(hit, make, "doc_id long, mark long, n_removed long, kept string", more=("mark", "starts"))
+    nothing = F.lit(hashlib.sha256(b"").hexdigest() if digest else "").alias("kept")
+    whole = sketch.join(twins, "whole_sha256").select("doc_id", "mark", F.col("n_words").alias("n_removed"), nothing)
+    # One that stands for its copies is in both tables: there it loses everything.
+    most = F.max(F.struct("n_removed", "kept")).alias("most")
+    return sketch, some.unionByName(whole).groupBy("doc_id", "mark").agg(most).select("doc_id", "mark", "most.*")
+
+
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
+    sketch, changed = changes(docs, window, gram, digest=True)
+    changed = changed.withColumnRenamed("kept", "kept_sha256")
     return sketch.join(changed, same_row(sketch, changed), "left").select(
         sketch["doc_id"],
         "n_words",
@@ -256,21 +281,8 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated passages taken out of text; texts that have none are as they were."""
-    _, hit = repeats(docs, window, gram)
-
-    def make():
-        def call(keys: list, texts: list, marks: list, starts: list) -> dict:
-            kept = []
-            for text, at in zip(texts, starts, strict=True):
-                words = split_words(text)
-                gone = removed(len(words), at, window).tolist()
-                kept.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode())
-            return {"doc_id": keys, "mark": marks, "kept": kept}
-
-        return call
-
-    changed = map_texts(hit, make, "doc_id long, mark long, kept string", more=("mark", "starts"))
-    changed = changed.dropDuplicates(["doc_id", "mark"]).select(
+    _, changed = changes(docs, window, gram)
+    changed = changed.select(
         F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")
     )
     on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark"))
