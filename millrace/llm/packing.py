@@ -14,6 +14,7 @@ ids; repeated rows are packed each for itself; an empty table gives no pieces.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, map_texts
+from .pieces import Merges
 
 CAPACITY = 4096
 CLOSING = 2
@@ -35,37 +37,100 @@ SHARD_ROWS = 50_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next one
+    from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in seen else next(rest)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Ids of whole texts. Tokens never reach over white space, so each distinct word is tokenised once."""
+    """Ids of whole texts. Tokens never reach over white space, so each distinct word is tokenised once.
+
+    The vocabulary is lower-case, so words that differ in ASCII case are one. Words of Latin letters, with full stops or
+    commas after them or not, go through vectorised merge rounds; all others through the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary = model["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        pairs = {(vocabulary[a], vocabulary[b]): r for r, (a, b) in reversed(list(enumerate(merges)))}
+        self.merges = Merges(pairs, [vocabulary[a + b] for a, b in merges], max(vocabulary.values()) + 1)
+        self.inner = np.array([vocabulary[c] for c in byte_symbols()], np.int32)
+        self.final = np.array([vocabulary[c + "</w>"] for c in byte_symbols()], np.int32)
         self._reset()
 
     def _reset(self) -> None:
         self.seen: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    @staticmethod
+    def plain(word: bytes) -> bool:
+        """Whether a word has only lower-case Latin letters, which the vocabulary's normalisation leaves alone."""
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0180" and text.lower() == text
+
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym = self.inner[raw]
+        last = np.cumsum(sizes) - 1
+        sym[last] = self.final[raw[last]]
+        sym, word = self.merges.merged(sym, np.repeat(np.arange(len(words), dtype=np.int32), sizes))
+        return sym, np.bincount(word, minlength=len(words))
+
+    def _tokenise(self, words: list[bytes]) -> None:
+        letters: defaultdict[bytes, int] = defaultdict(count().__next__)
+        others: defaultdict[bytes, int] = defaultdict(count().__next__)
+        first, second, nothing = [], [], others[b""]
+        for w in words:
+            base = w.rstrip(b".,")
+            if base and self.plain(base):
+                first.append(-1 - letters[base])
+                second.append(nothing if len(base) == len(w) else others[w[len(base) :]])
+            else:
+                first.append(others[w])
+                second.append(nothing)
+        made = []
+        for i in range(0, len(keys := list(others)), 4096):
+            part = [w.decode() for w in keys[i : i + 4096]]
+            made += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        flat = [np.array([x for ids in made for x in ids], np.uint32)]
+        sizes = np.array([len(ids) for ids in made], np.int64)
+        if letters:
+            ids, own = self._letters(list(letters))
+            flat.append(ids.astype(np.uint32))
+            sizes = np.concatenate([sizes, own])
+        ends = np.r_[0, np.cumsum(sizes)]
+        a = np.array(first, np.int64)
+        a = np.where(a < 0, len(made) - 1 - a, a)
+        entry = np.column_stack([a, np.array(second, np.int64)]).ravel()
+        taken = ends[entry + 1] - ends[entry]
+        upto = np.r_[0, np.cumsum(taken)]
+        self.flat = np.concatenate([self.flat, np.concatenate(flat)[np.repeat(ends[entry] - upto[:-1], taken) + np.arange(upto[-1])]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + upto[2::2]])
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.seen) > CACHE_WORDS:
             self._reset()
         known, codes, words = len(self.seen), [], [0]
         for text in texts:
-            codes += map(self.seen.__getitem__, (text or "").encode().split())  # ASCII white space only
+            raw = (text or "").encode()
+            if b"<|" not in raw:  # names of special tokens have a case
+                raw = raw.lower()
+            codes += map(self.seen.__getitem__, raw.split())  # ASCII letters, ASCII white space
             words.append(len(codes))
         if len(self.seen) > known:
-            fresh = [w.decode() for w in list(self.seen)[known:]]
-            flat, sizes = [self.flat], []
-            for i in range(0, len(fresh), 4096):
-                for made in self.tokenizer.encode_batch_fast(fresh[i : i + 4096], add_special_tokens=False):
-                    ids = made.ids
-                    sizes.append(len(ids))
-                    flat.append(np.array(ids, np.uint32))
-            self.flat = np.concatenate(flat)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self._tokenise(list(self.seen)[known:])
         code = np.array(codes, np.int64)
         size = self.ends[code + 1] - self.ends[code]
         upto = np.r_[0, np.cumsum(size)]

@@ -26,69 +26,22 @@ NONE = np.int32(2**31 - 1)
 CACHE_WORDS = 600_000
 
 
-class Pieces:
-    """A BPE vocabulary with byte fallback, as arrays."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        names = [sp.id_to_piece(i) for i in range(n)]
-        byte = [i for i in range(n) if sp.is_byte(i)]
-        plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
-        if len(byte) != 256 or any(sp.is_unused(i) for i in plain):
-            raise ValueError("a BPE model with byte fallback and without unused pieces is needed")
-        if any(re.search("[^▁]▁", names[i]) for i in plain):
-            raise ValueError("pieces that reach over a word's start are not supported")
-        self.unk = sp.unk_id()
-        self.byte_ids = np.array(sorted(byte, key=lambda i: int(names[i][3:5], 16)), np.int32)
-        order = sorted(plain, key=lambda i: -sp.get_score(i))
-        ids = {names[i]: i for i in plain}
-        # Pieces of spaces alone: where they share the least score they merge last, the leftmost pair first.
-        blank = [i for i in order if len(names[i]) > 1 and not names[i].strip("▁")]
-        self.blanks = {}
-        if len({sp.get_score(i) for i in blank}) < len(blank):
-            others = [i for i in plain if len(names[i]) > 1 and i not in set(blank)]
-            least = {sp.get_score(i) for i in blank}
-            if len(least) > 1 or any("▁▁" in names[i] or sp.get_score(i) <= min(least) for i in others):
-                raise ValueError("this order of pieces of spaces is not supported")
-            self.blanks = {len(names[i]): i for i in [*blank, ids["▁"]]}
-        merged = [i for i in order if len(names[i]) > 1 and not (self.blanks and i in set(blank))]
-        if len({sp.get_score(i) for i in merged}) < len(merged):
-            raise ValueError("pieces with equal scores are not supported")
-        for c in sorted({c for i in plain for c in names[i]} - ids.keys()):
-            ids[c] = n + len(ids)  # a character that only longer pieces have
-        width = max(ids.values()) + 1
-        self.width = np.int64(width)
-        self.extra = {v: ord(k) for k, v in ids.items() if v >= n}
-        self.first_extra = n
-        rank = {names[i]: r for r, i in enumerate(merged)}
-        self.of_rank = np.array(merged, np.int32)
-        self.symbol = np.full(0x110000, -1, np.int32)
-        for piece, i in ids.items():
-            if len(piece) == 1:
-                self.symbol[ord(piece)] = i
-        self.symbol[ord(" ")] = self.symbol[ord("▁")]
-        keys, ranks = [], []
-        self.prone = np.zeros(len(merged) + 1, bool)
-        for piece, r in rank.items():
-            for k in range(1, len(piece)):
-                a, b = piece[:k], piece[k:]
-                if a in ids and b in ids:
-                    keys.append(ids[a] * width + ids[b])
-                    ranks.append(r)
-                    for x in (a, b):
-                        if rank.get(x, -1) > r:  # merging x makes a pair that goes before x's other occurrences
-                            self.prone[rank[x]] = True
-        self._table(np.array(keys, np.int64), np.array(ranks, np.int32))
-        self.bytes = [b""] * n
-        for i in plain:
-            self.bytes[i] = names[i].replace("▁", " ").encode()
-        for b, i in enumerate(self.byte_ids):
-            self.bytes[i] = bytes([b])
-        self.bytes[self.unk] = " ⁇ ".encode()
-        self.decimal = [str(i) for i in range(n)]
+class Merges:
+    """Pairs of symbols with ranks, and the rounds that merge them."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], made: list[int], symbols: int):
+        """``pairs``: (left, right) symbol to rank; ``made``: the symbol that a rank's pair becomes; symbols are below
+        ``symbols``."""
+        self.of_rank = np.array(made, np.int32)
+        self.width = np.int64(symbols)
+        rank_of = {s: r for r, s in enumerate(made)}
+        self.prone = np.zeros(len(made) + 1, bool)
+        for pair, r in pairs.items():
+            for x in pair:
+                if rank_of.get(x, -1) > r:  # merging x makes a pair that goes before x's other occurrences
+                    self.prone[rank_of[x]] = True
+        keys = np.array([a * int(self.width) + b for a, b in pairs], np.int64)
+        self._table(keys, np.array(list(pairs.values()), np.int32))
 
     def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """An open hash table of pairs."""
@@ -123,13 +76,8 @@ class Pieces:
             todo, keys, at = todo[more], keys[more], (at[more] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and how many each has. Words hold spaces as such."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-        sym = self.symbol[points]
-        sym = np.where(sym < 0, -2 - points, sym)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    def merged(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of all words, which stand in order, until no pair remains. Negative symbols never merge."""
         pair = np.full(len(sym), NONE, np.int32)
         if len(sym) > 1:
             same = np.flatnonzero(word[1:] == word[:-1])
@@ -163,10 +111,75 @@ class Pieces:
             near = near[~last[near]]
             pair[near] = self.ranks(sym[near], sym[near + 1])
         if not done_sym:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+            return sym, word
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        sym, word = sym[order], word[order]
+        return sym[order], word[order]
+
+
+class Pieces(Merges):
+    """A BPE vocabulary with byte fallback, as arrays."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = sp.get_piece_size()
+        names = [sp.id_to_piece(i) for i in range(n)]
+        byte = [i for i in range(n) if sp.is_byte(i)]
+        plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+        if len(byte) != 256 or any(sp.is_unused(i) for i in plain):
+            raise ValueError("a BPE model with byte fallback and without unused pieces is needed")
+        if any(re.search("[^▁]▁", names[i]) for i in plain):
+            raise ValueError("pieces that reach over a word's start are not supported")
+        self.unk = sp.unk_id()
+        self.byte_ids = np.array(sorted(byte, key=lambda i: int(names[i][3:5], 16)), np.int32)
+        order = sorted(plain, key=lambda i: -sp.get_score(i))
+        ids = {names[i]: i for i in plain}
+        # Pieces of spaces alone: where they share the least score they merge last, the leftmost pair first.
+        blank = [i for i in order if len(names[i]) > 1 and not names[i].strip("▁")]
+        self.blanks = {}
+        if len({sp.get_score(i) for i in blank}) < len(blank):
+            others = [i for i in plain if len(names[i]) > 1 and i not in set(blank)]
+            least = {sp.get_score(i) for i in blank}
+            if len(least) > 1 or any("▁▁" in names[i] or sp.get_score(i) <= min(least) for i in others):
+                raise ValueError("this order of pieces of spaces is not supported")
+            self.blanks = {len(names[i]): i for i in [*blank, ids["▁"]]}
+        merged = [i for i in order if len(names[i]) > 1 and not (self.blanks and i in set(blank))]
+        if len({sp.get_score(i) for i in merged}) < len(merged):
+            raise ValueError("pieces with equal scores are not supported")
+        for c in sorted({c for i in plain for c in names[i]} - ids.keys()):
+            ids[c] = n + len(ids)  # a character that only longer pieces have
+        self.extra = {v: ord(k) for k, v in ids.items() if v >= n}
+        self.first_extra = n
+        rank = {names[i]: r for r, i in enumerate(merged)}
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        self.symbol[ord(" ")] = self.symbol[ord("▁")]
+        pairs = {}
+        for piece, r in rank.items():
+            for k in range(1, len(piece)):
+                if piece[:k] in ids and piece[k:] in ids:
+                    pairs[ids[piece[:k]], ids[piece[k:]]] = r
+        super().__init__(pairs, merged, max(n, *ids.values()) + 1)
+        self.bytes = [b""] * n
+        for i in plain:
+            self.bytes[i] = names[i].replace("▁", " ").encode()
+        for b, i in enumerate(self.byte_ids):
+            self.bytes[i] = bytes([b])
+        self.bytes[self.unk] = " ⁇ ".encode()
+        self.decimal = [str(i) for i in range(n)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has. Words hold spaces as such."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        sym = self.symbol[points]
+        sym = np.where(sym < 0, -2 - points, sym)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        sym, word = self.merged(sym, word)
         if self.blanks:
             sym, word = self._blank_runs(sym, word)
         return self._fall_back(sym, word, len(words))

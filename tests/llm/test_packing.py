@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_words_are_tokenised_as_whole_texts_are():
     rng = random.Random(5)
-    made = ["", None, " \n", "It's <|endoftext|>x a<|startoftext|>", "é́ ́x \x1c\x85\xa0b", "ΣΑΣ Σ İ"]
+    made = ["", None, " \n", "It's <|endoftext|>x a<|startoftext|>", "é́ ́x \x1c\x85\xa0b", "ΣΑΣ Σ İ", "A.B, c.., »., é., x'S. ². <|ENDOFTEXT|>", "It'S a.,b ،. É.́"]
     made += ["".join(rng.choice(" \n\t ab'st7é语.-😀ΣÉ́") for _ in range(rng.randint(0, 60))) for _ in range(500)]
     library, own = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
     for text, ids in zip(made, own.encode(made)):
