@@ -6,8 +6,8 @@ language by Jensen-Shannon distance (square root of the divergence in bits, 0 to
 fail the base rules and, for some language, both distances are within their limits. Guards: the class histogram is judged
 from MIN_CHARS characters, the word histogram from MIN_WORDS words; a shorter text isn't judged by that one.
 
-The references are gathered from the documents themselves by language: class histograms summed over all documents that
-pass the base rules, and counts of the language's most frequent words over all documents.
+The references are gathered from the documents themselves by language, over all documents: summed class histograms, and
+counts of the language's most frequent words.
 
 Defined results: a null or wordless text has no words, fails the base rule on length and is not kept; a table whose lang is
 null throughout has one reference of that null language; repeated rows each count.
@@ -122,10 +122,6 @@ MEASURED = (
 )
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    return map_texts(docs, lambda: Measures().call, MEASURED, more=("lang",))
-
-
 def stripped(text: str | None) -> list[bytes]:
     """Lower-case words without the ASCII punctuation and digits at their ends; empty where nothing is left."""
     return [w.strip(EDGES) for w in split_words(text.lower() if text else "")]
@@ -134,43 +130,45 @@ def stripped(text: str | None) -> list[bytes]:
 EDGES = b"!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 
 
-def references(docs: DataFrame, measured: DataFrame, common: int = COMMON) -> dict[str | None, dict]:
-    """Class histogram and common words (word: share of documents' words) of each language.
+def references(docs: DataFrame, common: int = COMMON) -> dict[str | None, dict]:
+    """Class histogram and common words of each language, from one pass over all documents.
 
-    Words are counted by Spark over all documents; only the ``common`` first of each language come to the driver. The
-    number of languages is that of distinct lang values, of which LANGS with most documents make references.
+    Each task adds up its batches by language and word before anything is shuffled. Of the words, only the ``common`` first
+    of each language come to the driver, and only the LANGS languages with most words make references.
     """
-    passed = measured.where(~F.col("base_failed"))
-    sums = [F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(CLASSES)]
-    totals = passed.groupBy("lang").agg(F.count("*").alias("docs"), *sums)
-    totals = totals.orderBy(F.desc("docs"), "lang").limit(LANGS).collect()
 
     def make():
+        table = class_table()
+
         def call(keys: list, texts: list, langs: list) -> dict:
             by: dict = defaultdict(Counter)
             for text, lang in zip(texts, langs, strict=True):
-                by[lang].update(stripped(text))
-            rows = [(lang, w.decode(), n) for lang, c in by.items() for w, n in c.most_common()]
-            return {name: [r[k] for r in rows] for k, name in enumerate(("lang", "word", "n"))}
+                if text:
+                    by[lang].update(stripped(text))
+                    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                    found = np.bincount(table[points], minlength=CLASSES)
+                    by[lang].update({k: n for k, n in enumerate(found.tolist()) if n})
+            rows = [(lang, w, None, n) if isinstance(w, int) else (lang, None, w.decode(), n) for lang, c in by.items() for w, n in c.items()]
+            return {name: [r[k] for r in rows] for k, name in enumerate(("lang", "class", "word", "n"))}
 
         return call
 
-    counted = map_texts(docs, make, "lang string, word string, n long", more=("lang",))
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    sums = {
-        r["lang"]: (r["bare"], r["n"])
-        for r in counted.groupBy("lang").agg(F.sum(F.expr("if(word = '', n, 0)")).alias("bare"), F.sum("n").alias("n")).collect()
-    }
+    counted = map_texts(docs, make, "lang string, class int, word string, n long", more=("lang",))
+    counted = durable(counted.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "counted")
+    classes, words, bare, total = defaultdict(lambda: [0] * CLASSES), defaultdict(dict), defaultdict(int), {}
+    for r in counted.where("class is not null").collect():
+        classes[r["lang"]][r["class"]] = r["n"]
+    worded = counted.where("class is null")
+    for r in worded.groupBy("lang").agg(F.sum(F.expr("if(word = '', n, 0)")).alias("bare"), F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect():
+        bare[r["lang"]], total[r["lang"]] = r["bare"], r["n"]
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.where("word != ''").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= common)
-    words = defaultdict(dict)
+    top = worded.where("word != ''").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= common)
     for r in top.select("lang", "word", "n").collect():
         words[r["lang"]][r["word"]] = r["n"]
     made = {}
-    for r in totals:
-        own, (bare, total) = dict(sorted(words[r["lang"]].items())), sums[r["lang"]]
-        classes = [r[f"c{k}"] for k in range(CLASSES)]
-        made[r["lang"]] = {"classes": classes, "words": own, "bare": bare, "rest": total - bare - sum(own.values())}
+    for lang, n in total.items():
+        own = dict(sorted(words[lang].items()))
+        made[lang] = {"classes": classes[lang], "words": own, "bare": bare[lang], "rest": n - bare[lang] - sum(own.values())}
     return made
 
 
@@ -228,5 +226,4 @@ def judge(docs: DataFrame, known: dict[str | None, dict]) -> DataFrame:
 
 def assess(docs: DataFrame) -> DataFrame:
     """Judge documents against the references that they make themselves."""
-    measured = durable(measures(docs), "measured")
-    return judge(docs, references(docs, measured)).drop("classes", "lang")
+    return judge(docs, references(docs)).drop("classes", "lang")
