@@ -33,7 +33,6 @@ BOUND = 0.35
 QUERY_EVERY = 50
 LEAST_COMMON = 3
 MAX_BIT_ERROR = 0.2
-#: Integers at this many classes or more still count: their postings are joined like all others.
 
 
 def filters() -> list[tuple[int, int, int, int, int]]:
@@ -88,20 +87,28 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def prints(media: DataFrame, key: str = "rec_id", audio: str = "audio") -> DataFrame:
-    """(rec_id, ints, fp_sha256) of recordings whose audio is little-endian 16-bit mono samples at RATE."""
+def pcm(raw: bytes | None) -> np.ndarray:
+    """Samples of little-endian 16-bit mono audio at RATE; an odd last byte is left out."""
+    return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") if raw else np.zeros(0, np.int16)
+
+
+#: Recordings whose integers a task holds before it gives them on.
+PART = 512
+
+
+def prints(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=pcm) -> DataFrame:
+    """(rec_id, ints, fp_sha256) of recordings; ``decode`` gives the samples of a value of the audio column."""
 
     def run(batches):
         for batch in batches:
-            ids, made = batch.column(0).to_pylist(), []
-            for raw in batch.column(1):
-                raw = raw.as_py() or b""
-                made.append(fingerprint(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2")))
-            rows = [pa.array(ids, pa.int64()), pa.array([x.tolist() for x in made], pa.list_(pa.int64()))]
-            rows.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in made]))
-            yield pa.RecordBatch.from_arrays(rows, ["rec_id", "ints", "fp_sha256"])
-
-    read = media.select(media[key].cast("long").alias("rec_id"), media[audio].cast("binary").alias("audio"))
+            for i in range(0, batch.num_rows, PART):
+                part = batch.slice(i, PART)
+                made = [fingerprint(decode(raw.as_py())) for raw in part.column(1)]
+                rows = [part.column(0), pa.array([x.astype(np.int64) for x in made], pa.list_(pa.int64()))]
+                rows.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in made]))
+                yield pa.RecordBatch.from_arrays(rows, ["rec_id", "ints", "fp_sha256"])
+
+    read = media.select(media[key].cast("long").alias("rec_id"), media[audio].alias("audio"))
     return read.mapInArrow(run, "rec_id long, ints array<long>, fp_sha256 string")
 
 
@@ -133,10 +140,10 @@ def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
     return made.where(F.col("bit_error") <= MAX_BIT_ERROR).select(F.col("q").alias("class_id"), "other_id", "shift", "common", "bit_error")
 
 
-def match(media: DataFrame, key: str = "rec_id", audio: str = "audio") -> DataFrame:
+def match(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=pcm) -> DataFrame:
     """Per recording: rec_id, n_ints, fp_sha256, class_id, and of its class, where that is a query, n_links (other classes
     it aligns with) and the best of them: best_id, best_shift, best_bit_error (null where there is none)."""
-    made = durable(prints(media, key, audio), "prints")
+    made = durable(prints(media, key, audio, decode), "prints")
     classes = made.groupBy("fp_sha256").agg(
         F.min("rec_id").alias("class_id"), F.first("ints").alias("ints"), F.max(F.expr(f"rec_id % {QUERY_EVERY} = 0")).alias("asked")
     )
@@ -161,23 +168,12 @@ def match(media: DataFrame, key: str = "rec_id", audio: str = "audio") -> DataFr
 NOTE = 240
 
 
-def recordings(vectors: DataFrame) -> DataFrame:
-    """(rec_id, audio): each vector of ``embeddings`` as a recording, one note for each of its numbers.
+def tone(vector: list[float] | None) -> np.ndarray:
+    """A vector of ``embeddings`` as a recording, one note for each of its numbers.
 
     The synthetic tables hold no audio; this gives media whose near copies are the vectors' near copies.
     """
-
-    def run(batches):
-        t = np.arange(NOTE) / RATE
-        shape = np.hanning(NOTE)
-        for batch in batches:
-            made = []
-            for vector in batch.column(1).to_pylist():
-                x = np.array([0.0 if v is None or not np.isfinite(v) else v for v in vector or []], np.float64)
-                note = np.round(24 * np.tanh(3 * x))[:, None]
-                tone = np.sin(2 * np.pi * 330.0 * 2 ** (note / 12) * t) * shape
-                made.append((12000 * tone).astype("<i2").tobytes())
-            arrays = [batch.column(0).cast(pa.int64()), pa.array(made, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["rec_id", "audio"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "rec_id long, audio binary")
+    t = np.arange(NOTE) / RATE
+    x = np.array([0.0 if v is None or not np.isfinite(v) else v for v in vector or []], np.float64)
+    note = np.round(24 * np.tanh(3 * x))[:, None]
+    return (12000 * np.sin(2 * np.pi * 330.0 * 2 ** (note / 12) * t) * np.hanning(NOTE)).astype(np.int16).ravel()

@@ -52,7 +52,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.match(chroma.recordings(table(spark, sf_dir, "embeddings")))
+    return chroma.match(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.tone)
 
 
 def queries() -> dict[str, Query]:

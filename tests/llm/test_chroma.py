@@ -51,5 +51,5 @@ def test_alignment_matches_brute_force(spark):
 def test_vectors_as_recordings(spark):
     rows = [(1, [0.1] * 64), (2, [0.1] * 64), (3, None), (4, [None, float("nan")])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r.rec_id: r for r in chroma.match(chroma.recordings(vectors)).collect()}
+    got = {r.rec_id: r for r in chroma.match(vectors, "vec_id", "embedding", chroma.tone).collect()}
     assert got[1].class_id == got[2].class_id == 1 and got[1].n_ints > 0 and got[3].n_ints == 0
