@@ -149,7 +149,7 @@ class Network:
 def fit(docs: DataFrame) -> Network:
     """A network from the documents' lang outside the held-out fold."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = [(t, lang) for t, lang in sample(texts, "lang", TRAIN_ROWS, TRAIN_CHARS) if LETTER.search(t)]
+    rows = [(t, lang) for t, lang in sample(texts, None, "lang", TRAIN_ROWS, TRAIN_CHARS) if LETTER.search(t)]
     langs = sorted({lang for _, lang in rows})
     net = Network(langs)
     if len(langs) > 1:

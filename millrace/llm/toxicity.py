@@ -114,9 +114,9 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the documents' labels ``toxic`` outside the held-out fold."""
-    marks = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return train(sample(texts.join(marks, F.col("doc_id") == F.col("__id")).drop("__id"), "toxic", TRAIN_ROWS, TRAIN_CHARS))
+    return train(sample(texts, marks, "toxic", TRAIN_ROWS, TRAIN_CHARS))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,22 +13,26 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % FOLDS == 0
 
 
-def sample(rows: DataFrame, target: str, most_rows: int, most_chars: int) -> list[tuple[str, object]]:
-    """(text, target) of at most ``most_rows`` rows (doc_id, text, target) outside the held-out fold.
+def sample(docs: DataFrame, marks: DataFrame | None, target: str, most_rows: int, most_chars: int) -> list[tuple[str, object]]:
+    """(text, target) of at most ``most_rows`` documents outside the held-out fold.
 
-    Rows go in the order of a hash of their doc_id, as long as their texts have at most ``most_chars`` characters in all;
-    longer ones are passed over. Lengths are looked at first, so the driver never holds more than these bounds.
+    The target is a column of ``marks`` (doc_id, target), or of the documents themselves where marks is None. Documents go
+    in the order of a hash of their doc_id, as long as their texts have at most ``most_chars`` characters in all; longer
+    ones are passed over. Only lengths are joined and ordered; the texts of those chosen are then picked by a broadcast of
+    their ids (at most ``most_rows``), so no text is shuffled and the driver never holds more than these bounds.
     """
-    known = rows.where(F.col(target).isNotNull() & F.col("text").isNotNull() & ~held_out())
-    first = known.select("doc_id", F.char_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "n")
-    chosen, room = set(), most_chars
-    for doc_id, n in first.limit(most_rows).collect():
+    known = docs.where(F.col("text").isNotNull() & ~held_out())
+    sized = known.select("doc_id", F.char_length("text").alias("n"), *([] if marks is not None else [target]))
+    if marks is not None:
+        sized = sized.join(marks.select("doc_id", target), "doc_id")
+    sized = sized.where(F.col(target).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "n", target)
+    chosen, room = {}, most_chars
+    for doc_id, n, value in sized.limit(most_rows).collect():
         if n <= room:
-            chosen.add(doc_id)
+            chosen.setdefault(doc_id, value)
             room -= n
     if not chosen:
         return []
-    few = rows.sparkSession.createDataFrame([(x,) for x in sorted(chosen)], "doc_id long")
-    taken = known.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "text", target).limit(2 * most_rows)
-    made = sorted((tuple(r) for r in taken.collect()), key=lambda r: (r[0], r[1], str(r[2])))
-    return [(text, value) for _, text, value in made]
+    few = docs.sparkSession.createDataFrame([(x,) for x in sorted(chosen)], "doc_id long")
+    taken = known.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "text").limit(2 * most_rows).collect()
+    return [(text, chosen[doc_id]) for doc_id, text in sorted(tuple(r) for r in taken)]
