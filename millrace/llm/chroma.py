@@ -2,8 +2,10 @@
 
 A recording (16-bit mono samples) becomes frames of energies of the 12 pitch classes. Over the integral image of frames and
 classes, each of 16 rectangle filters compares two areas and gives 2 bits; 32 bits make one integer for each position. Two
-recordings are aligned by the histogram of offsets between positions with equal integers; the commonest offset (the
-smallest of equals) is verified by the share of differing bits over the overlap.
+recordings are aligned at the offset of the least share of differing bits over the overlap (the most equal integers, then
+the smallest offset, of equals). Offsets count whose overlap has LEAST_OVERLAP positions, or LEAST_COMMON equal integers.
+Every query is compared with every class at every offset, in blocks: noise can change each integer, so equal ones don't
+lead to all alignments.
 
 Recordings with the same fingerprint are one class, represented by its smallest id, so copies are never paired with each
 other; queries are the classes that hold an id divisible by QUERY_EVERY, against all classes.
@@ -32,6 +34,7 @@ SPAN = 16
 BOUND = 0.35
 QUERY_EVERY = 50
 LEAST_COMMON = 3
+LEAST_OVERLAP = SPAN
 MAX_BIT_ERROR = 0.2
 
 
@@ -112,32 +115,93 @@ def prints(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=p
     return read.mapInArrow(run, "rec_id long, ints array<long>, fp_sha256 string")
 
 
+#: Recordings and integers of a block of classes, and recordings of a block of queries.
+BLOCK, BLOCK_INTS, QUERY_BLOCK = 2048, 1 << 18, 256
+
+
+def blocks(classes: DataFrame, size: int) -> DataFrame:
+    """(ids, prints) of up to ``size`` classes (class_id, ints) in a row, the integers as bytes."""
+
+    def run(batches):
+        ids, prints, held = [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([prints], pa.list_(pa.binary()))], ["ids", "prints"])
+
+        for batch in batches:
+            for key, ints in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if ids and (len(ids) >= size or held + len(ints) > BLOCK_INTS):
+                    yield row()
+                    ids, prints, held = [], [], 0
+                ids.append(key)
+                prints.append(ints.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                held += len(ints)
+        if ids:
+            yield row()
+
+    parts = max(1, -(-classes.count() // size))
+    return classes.repartition(parts).mapInArrow(run, "ids array<long>, prints array<binary>")
+
+
+def compare(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one print against the columns of b, prints of one length: column, shift, equal integers and bit error of each
+    column's best alignment, where it has one."""
+    n, size = b.shape[1], b.shape[0]
+    best = np.full(n, 2.0)
+    shifts, commons = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for shift in range(LEAST_COMMON - size, len(a) - LEAST_COMMON + 1):
+        # a[i + shift] stands against b[i].
+        first_a, first_b = max(shift, 0), max(-shift, 0)
+        length = min(len(a) - first_a, size - first_b)
+        if length < LEAST_COMMON:
+            continue
+        bits = np.bitwise_count(b[first_b : first_b + length] ^ a[first_a : first_a + length, None])
+        # Seven counts of at most 32 fit a byte.
+        wrong = np.add.reduceat(bits, np.arange(0, length, 7), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+        error = wrong / (32.0 * length)
+        at = np.flatnonzero((error <= MAX_BIT_ERROR) & (error <= best))
+        if len(at):
+            common = (bits[:, at] == 0).sum(0)
+            better = (error[at] < best[at]) | (common > commons[at])
+            use = better & ((common >= LEAST_COMMON) | (length >= LEAST_OVERLAP))
+            at = at[use]
+            best[at], shifts[at], commons[at] = error[at], shift, common[use]
+    found = np.flatnonzero(best <= MAX_BIT_ERROR)
+    return found, shifts[found], commons[found], best[found]
+
+
+ALIGNED = "class_id long, other_id long, shift int, common long, bit_error double"
+
+
 def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """(class_id, other_id, shift, common, bit_error) of query classes with every other class they align with.
 
-    ``classes`` is (class_id, ints), ``queries`` (class_id). Offsets are counted before anything is shuffled by pair.
+    ``classes`` is (class_id, ints), ``queries`` (class_id).
     """
-    posted = classes.select("class_id", F.posexplode("ints").alias("at", "value")).distinct()
-    asked = posted.join(queries, "class_id", "left_semi").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "value")
-    met = asked.join(posted, "value").where("q != class_id")
-    counted = met.groupBy("q", F.col("class_id").alias("other_id"), (F.col("q_at") - F.col("at")).alias("shift")).agg(
-        F.count("*").alias("common")
-    )
-    top = F.max(F.struct("common", (-F.col("shift")).alias("back"))).alias("top")
-    best = counted.groupBy("q", "other_id").agg(top).where(F.col("top.common") >= LEAST_COMMON)
-    best = best.select("q", "other_id", (-F.col("top.back")).alias("shift"), F.col("top.common").alias("common"))
-    own = classes.select(F.col("class_id").alias("q"), F.col("ints").alias("a"))
-    other = classes.select(F.col("class_id").alias("other_id"), F.col("ints").alias("b"))
-    both = best.join(own, "q").join(other, "other_id")
-    # a[i + shift] stands against b[i].
-    first_a, first_b = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    length = F.least(F.size("a") - first_a, F.size("b") - first_b)
-    pairs = F.zip_with(
-        F.slice("a", first_a + 1, length), F.slice("b", first_b + 1, length), lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    )
-    errors = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
-    made = both.withColumn("bit_error", errors / (32.0 * length))
-    return made.where(F.col("bit_error") <= MAX_BIT_ERROR).select(F.col("q").alias("class_id"), "other_id", "shift", "common", "bit_error")
+    asked = durable(blocks(classes.join(queries, "class_id", "left_semi"), QUERY_BLOCK), "asked")
+    others = durable(blocks(classes, BLOCK), "others")
+    asked = asked.select(F.col("ids").alias("q_ids"), F.col("prints").alias("q_prints"))
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.count() * others.count() // 16)
+
+    def run(batches):
+        names = [part.split()[0] for part in ALIGNED.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q_prints, ids, prints = (c[i].as_py() for c in batch.columns)
+                ids, sizes = np.array(ids, np.int64), np.array([len(x) // 4 for x in prints])
+                groups = []
+                for size in np.unique(sizes):
+                    of = np.flatnonzero(sizes == size)
+                    groups.append((ids[of], np.ascontiguousarray(np.frombuffer(b"".join(prints[k] for k in of), "<u4").reshape(-1, size).T)))
+                for q, raw in zip(q_ids, q_prints, strict=True):
+                    for of, columns in groups:
+                        found, *rest = compare(np.frombuffer(raw, "<u4"), columns)
+                        other = of[found] != q
+                        out = [np.full(int(other.sum()), q), of[found][other], *[x[other] for x in rest]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
+    return asked.crossJoin(others).repartition(parts).mapInArrow(run, ALIGNED)
 
 
 def match(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=pcm) -> DataFrame:

@@ -53,3 +53,32 @@ def test_vectors_as_recordings(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {r.rec_id: r for r in chroma.match(vectors, "vec_id", "embedding", chroma.tone).collect()}
     assert got[1].class_id == got[2].class_id == 1 and got[1].n_ints > 0 and got[3].n_ints == 0
+
+
+def brute_errors(a, b):
+    """Least bit error of two prints over all shifts that count."""
+    least = 1.0
+    for s in range(1 - len(b), len(a)):
+        pairs = [(a[p], b[p - s]) for p in range(len(a)) if 0 <= p - s < len(b)]
+        if len(pairs) >= chroma.LEAST_OVERLAP or sum(x == y for x, y in pairs) >= chroma.LEAST_COMMON:
+            least = min(least, sum((x ^ y).bit_count() for x, y in pairs) / (32 * len(pairs)))
+    return least
+
+
+def test_recall_by_bit_error_alone(spark):
+    rng = np.random.default_rng(6)
+    audio = {}
+    for k in range(6):
+        audio[50 * k] = tune(20 + k, 30)
+        for i, noise in enumerate((500, 2000, 3000, 4000)):
+            audio[50 * k + 1 + i] = (audio[50 * k] + rng.normal(0, noise, len(audio[50 * k]))).clip(-32768, 32767).astype("<i2")
+    media = spark.createDataFrame([(k, x.tobytes()) for k, x in audio.items()], "rec_id long, audio binary")
+    prints = {k: chroma.fingerprint(x).tolist() for k, x in audio.items()}
+    rows = spark.createDataFrame(list(prints.items()), "class_id long, ints array<long>")
+    asked = [k for k in prints if k % 50 == 0]
+    want = {(q, k): e for q in asked for k in prints if k != q and (e := brute_errors(prints[q], prints[k])) <= chroma.MAX_BIT_ERROR}
+    found = chroma.alignments(rows, rows.where("class_id % 50 = 0").select("class_id")).collect()
+    got = {(r.class_id, r.other_id): r.bit_error for r in found}
+    assert got == want and any(r.common < chroma.LEAST_COMMON for r in found)
+    links = {r.rec_id: r.n_links for r in chroma.match(media).collect()}
+    assert {q: links[q] for q in asked} == {q: sum(a == q for a, _ in want) for q in asked}
