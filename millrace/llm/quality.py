@@ -134,7 +134,7 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str | None, dict]:
     """Class histogram and common words of each language, from one pass over all documents.
 
     Each task adds up its batches by language and word before anything is shuffled. Of the words, only the ``common`` first
-    of each language come to the driver, and only the LANGS languages with most words make references.
+    of each language come to the driver; every language makes a reference.
     """
 
     def make():
@@ -159,7 +159,7 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str | None, dict]:
     for r in counted.where("class is not null").collect():
         classes[r["lang"]][r["class"]] = r["n"]
     worded = counted.where("class is null")
-    for r in worded.groupBy("lang").agg(F.sum(F.expr("if(word = '', n, 0)")).alias("bare"), F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect():
+    for r in worded.groupBy("lang").agg(F.sum(F.expr("if(word = '', n, 0)")).alias("bare"), F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect():
         bare[r["lang"]], total[r["lang"]] = r["bare"], r["n"]
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = worded.where("word != ''").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= common)
@@ -172,7 +172,8 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str | None, dict]:
     return made
 
 
-LANGS = 64
+#: References that documents are compared with at once.
+BLOCK = 64
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -187,36 +188,58 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((sp[..., 0] == 0) | (sq[..., 0] == 0), 1.0, out)
 
 
+class Block:
+    """Some references, as arrays."""
+
+    def __init__(self, refs: list[dict]):
+        self.classes = np.array([r["classes"] for r in refs], np.float64).reshape(-1, CLASSES)
+        width = max((len(r["words"]) for r in refs), default=0) + 2
+        self.shares = np.zeros((len(refs), width))
+        self.places: defaultdict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for k, r in enumerate(refs):
+            for i, (word, n) in enumerate(r["words"].items()):
+                self.places[word.encode()].append((k, i))
+                self.shares[k, i] = n
+            self.shares[k, -2:] = r["bare"], r["rest"]
+
+    def word_distances(self, many: Counter) -> np.ndarray:
+        """Distance of a text's words from each reference."""
+        seen = np.zeros(self.shares.shape)
+        for w in many.keys() & self.places.keys():
+            for k, i in self.places[w]:
+                seen[k, i] = many[w]
+        seen[:, -2] = many[b""]
+        seen[:, -1] = sum(many.values()) - many[b""] - seen[:, :-2].sum(1)
+        return js_distance(seen, self.shares)
+
+
 def judge(docs: DataFrame, known: dict[str | None, dict]) -> DataFrame:
     """(MEASURED, class_distance, word_distance, kept) with distances to the nearest reference language."""
 
     def make():
         own = Measures()
-        classes = np.array([r["classes"] for r in known.values()], np.float64).reshape(-1, CLASSES)
-        tables = [{w.encode(): i for i, w in enumerate(r["words"])} for r in known.values()]
-        shares = [np.array([*r["words"].values(), r["bare"], r["rest"]], np.float64) for r in known.values()]
+        refs = list(known.values())
+        blocks = [Block(refs[i : i + BLOCK]) for i in range(0, len(refs), BLOCK)]
 
         def call(keys: list, texts: list, langs: list) -> dict:
             out = own.call(keys, texts, langs)
-            found = np.array(out["classes"], np.float64).reshape(-1, 1, CLASSES)
-            by_class = js_distance(found, classes[None]) if len(classes) else np.ones((len(keys), 1))
-            words = np.ones((len(keys), max(1, len(tables))))
-            for i, text in enumerate(texts):
-                many = Counter(stripped(text))
-                rest = sum(many.values()) - many[b""]
-                for k, (table, share) in enumerate(zip(tables, shares, strict=True)):
-                    seen = np.zeros(len(share))
-                    for w in many.keys() & table.keys():
-                        seen[table[w]] = many[w]
-                    seen[-2:] = many[b""], rest - seen[:-2].sum()
-                    words[i, k] = js_distance(seen, share)
-            chars = found.sum((1, 2))
-            class_ok = (by_class <= MAX_CLASS_DISTANCE) | (chars < MIN_CHARS)[:, None]
-            word_ok = (words <= MAX_WORD_DISTANCE) | (np.array(out["n_words"]) < MIN_WORDS)[:, None]
-            near = np.argmin(by_class + words, axis=1)
+            found = np.array(out["classes"], np.float64).reshape(-1, CLASSES)
+            short, few = found.sum(1) < MIN_CHARS, np.array(out["n_words"]) < MIN_WORDS
+            near, some_ok = np.ones((2, len(keys))), np.zeros(len(keys), bool)
+            counts = [Counter(stripped(text)) for text in texts] if blocks else []
             pick = np.arange(len(keys))
-            kept = (class_ok & word_ok).any(1) & ~np.array(out["base_failed"], bool)
-            return out | {"class_distance": by_class[pick, near], "word_distance": words[pick, near], "kept": kept}
+            if not blocks:
+                some_ok = short & few
+            for k, block in enumerate(blocks):
+                by_class = js_distance(found[:, None], block.classes[None])
+                words = np.array([block.word_distances(many) for many in counts])
+                class_ok = (by_class <= MAX_CLASS_DISTANCE) | short[:, None]
+                some_ok |= (class_ok & ((words <= MAX_WORD_DISTANCE) | few[:, None])).any(1)
+                at = np.argmin(by_class + words, axis=1)
+                both = np.array([by_class[pick, at], words[pick, at]])
+                near = np.where(both.sum(0) < near.sum(0), both, near) if k else both
+            kept = some_ok & ~np.array(out["base_failed"], bool)
+            return out | {"class_distance": near[0], "word_distance": near[1], "kept": kept}
 
         return call
 

@@ -62,3 +62,16 @@ def test_odd_documents_are_not_kept(spark):
     rows += [(100, " ".join(f"{rng.choice(usual)}$$$" for _ in range(150)), "en"), (101, "| zq | yx " * 3 + " | ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)), "en")]
     got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[100] and not got[101] and sum(got[k] for k in range(60)) >= 58
+
+
+def test_every_language_makes_a_reference(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(70):
+        usual = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(6)]
+        for i in range(3 if k else 2):  # the first language has fewest words
+            rows.append((3 * k + i, " ".join(rng.choices(usual, range(30, 0, -1), k=100)), f"lang{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(quality.references(docs)) == 70
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    assert all(r.kept and r.word_distance < 0.46 for r in got.values())
