@@ -160,11 +160,11 @@ def anchored(events: DataFrame, types: set[str], key: str, length: timedelta) ->
     return made.select(F.col("key").alias(key), F.timestamp_micros("us").alias("first_ts"), "n_events")
 
 
-def first_event_of(events: DataFrame, key: str, types: set[str] | None = None) -> DataFrame:
-    """First and last event of each type for each key."""
+def first_event_of(events: DataFrame, key: str | None, types: set[str] | None = None) -> DataFrame:
+    """First and last event of each type for each key, or without a key over all events."""
     read = events.where(of_types(types)) if types else events
     order = F.struct("ts", "event_id")
-    return read.groupBy(key, "event_type").agg(
+    return read.groupBy(*[key] if key else [], "event_type").agg(
         F.min_by("event_id", order).alias("first_id"), F.max_by("event_id", order).alias("last_id"), F.count("*").alias("n_events")
     )
 

@@ -197,6 +197,11 @@ def first_last_of_type(spark, sf_dir):
     return patterns.first_event_of(load_events(spark, sf_dir), "user_id")
 
 
+@query("SELECT event_type, arg_min(event_id, ts) AS first_id, arg_max(event_id, ts) AS last_id, count(*) AS n_events FROM events GROUP BY ALL")
+def dedupe_matchers(spark, sf_dir):
+    return patterns.first_event_of(load_events(spark, sf_dir), None)
+
+
 # --- the exact engine ---------------------------------------------------------------------------------------------------
 
 @query(f"""{TWO} SELECT 'welcome' AS rule, CASE WHEN nts <= deadline THEN 'complete' ELSE 'timeout' END AS phase, event_id AS first_id FROM a

@@ -256,3 +256,14 @@ def test_runtime_states():
     for to in (State.RECOVERY, State.RUNNING, State.STOPPING, State.STOPPED):
         runtime.move(to)
     assert pd.notna(runtime.state.value)
+
+
+def test_dedupe_matchers_is_registered(spark):
+    from millrace.plans import catalogue
+
+    folder, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{folder}/events.parquet").orderBy("ts", "event_id").collect():
+        first, _, n = want.get(r.event_type, (r.event_id, None, 0))
+        want[r.event_type] = (first, r.event_id, n + 1)
+    got = catalogue.QUERIES["dedupe_matchers"](spark, folder).collect()
+    assert {r.event_type: (r.first_id, r.last_id, r.n_events) for r in got} == want and "dedupe_matchers" in catalogue.ORACLES
