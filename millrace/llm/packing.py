@@ -75,7 +75,7 @@ class WordTokenizer:
     def plain(word: bytes) -> bool:
         """Whether a word has only lower-case Latin letters, which the vocabulary's normalisation leaves alone."""
         if word.isascii():
-            return word.isalpha()
+            return word.isalpha() and word.islower()
         text = word.decode()
         return text.isalpha() and max(text) < "\u0180" and text.lower() == text
 

@@ -15,6 +15,9 @@ def test_words_are_tokenised_as_whole_texts_are():
     rng = random.Random(5)
     made = ["", None, " \n", "It's <|endoftext|>x a<|startoftext|>", "é́ ́x \x1c\x85\xa0b", "ΣΑΣ Σ İ", "A.B, c.., »., é., x'S. ². <|ENDOFTEXT|>", "It'S a.,b ،. É.́"]
     made += ["".join(rng.choice(" \n\t ab'st7é语.-😀ΣÉ́") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    made += ["<| C", "C <|", "Été <|startoftext|>Ab ABC.", "<|endoftext|> HELLO World"]
+    parts = ["<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "A", "Ab", "hELLO", "ÉTÉ", "ß", "ﬁ", "ª", "'S", "'s", "9", ".", ",", " ", "\t", "\n", "\x0b", "\xa0", "Ǆ", "İ", "Σ", "中"]
+    made += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
     library, own = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
     for text, ids in zip(made, own.encode(made)):
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
