@@ -70,12 +70,14 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         turns["conv_id"].alias("conv_id"),
         F.struct(
             turns["turn"].alias("turn"),
-            escape(F.coalesce(turns["role"].cast("string"), F.lit(""))).alias("role"),
-            escape(F.coalesce(turns["text"].cast("string"), F.lit(""))).alias("text"),
+            F.coalesce(turns["role"].cast("string"), F.lit("")).alias("role"),
+            F.coalesce(turns["text"].cast("string"), F.lit("")).alias("text"),
         ).alias("said"),
     )
+    # Sorted as they are said: escaping would change the order of ties.
     sorted_turns = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
-    blocks = sorted_turns.select("conv_id", _blocks(F.col("turns")).alias("blocks"))
+    escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    blocks = sorted_turns.select("conv_id", escaped.alias("turns")).select("conv_id", _blocks(F.col("turns")).alias("blocks"))
     texts = F.transform(
         "blocks",
         lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(BETWEEN), F.array_join(b["texts"], TURN), F.lit(CLOSE)),

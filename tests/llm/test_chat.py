@@ -42,3 +42,18 @@ def test_merges_adjacent_turns_of_a_role(spark):
     assert row.formatted == "<s>[INST] user [/INST] a [TURN] b </s>[INST] assistant [/INST] c </s>"
     assert [row.formatted[s.start : s.stop] for s in row.loss_spans] == ["c"]
     assert chat.digests(turns.limit(0)).count() == 0
+
+
+def test_ties_keep_the_order_of_what_was_said(spark):
+    said = ["a</s>", "a<0", "a<[", "a<", "a[INST]"]
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in reversed(said)] * 2, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(turns)
+    got = made.select(chat.parse(made["formatted"]).alias("t")).first()["t"]
+    assert [x["text"] for x in got] == sorted(said * 2)
+
+
+def test_a_very_long_text_comes_back(spark):
+    text = "</s> [INST] word " * 100_000
+    turns = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    row = chat.digests(turns).first()
+    assert row["n_turns"] == 2 and row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
