@@ -4,7 +4,8 @@ Lower-cased UTF-8 bytes go in windows of WINDOW; a byte embedding, filters of se
 and a softmax give a distribution for each window. A document's distribution is the mean over all its windows, weighted by
 their bytes.
 
-Training takes windows of a bounded sample: TRAIN_ROWS rows with TRAIN_CHARS characters in all. Defined results: a null
+Training takes WINDOWS_OF_ONE windows of each row of a bounded sample: TRAIN_ROWS rows with TRAIN_CHARS characters in all.
+Defined results: a null
 text and one without a letter are ``und`` with score 0, as is everything where no row has a lang; one known lang is
 predicted for all; ties go to the lang that sorts first; repeated rows are predicted alike.
 """
@@ -12,6 +13,7 @@ predicted for all; ties go to the lang that sorts first; repeated rows are predi
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +33,13 @@ WINDOWS_OF_ONE = 3
 STEPS, BATCH = 700, 48
 #: Windows that go through the network at once.
 BLOCK = 64
-LETTER = re.compile(r"[^\W\d_]")
+#: Characters that may be letters; what the category decides is tested on them alone.
+WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode's letter categories (not one like ½, ² or Ⅷ, which are numbers)."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in WORD.finditer(text or ""))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +145,7 @@ class Network:
             held, held_rows = [], 0
 
         for i, text in enumerate(texts):
-            if text and self.langs and LETTER.search(text):
+            if self.langs and has_letter(text):
                 held.append((i, *windows(text)))
                 held_rows += len(held[-1][1])
                 if held_rows >= 4 * BLOCK:
@@ -149,7 +157,7 @@ class Network:
 def fit(docs: DataFrame) -> Network:
     """A network from the documents' lang outside the held-out fold."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = [(t, lang) for t, lang in sample(texts, None, "lang", TRAIN_ROWS, TRAIN_CHARS) if LETTER.search(t)]
+    rows = [(t, lang) for t, lang in sample(texts, None, "lang", TRAIN_ROWS, TRAIN_CHARS) if has_letter(t)]
     langs = sorted({lang for _, lang in rows})
     net = Network(langs)
     if len(langs) > 1:
