@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Characters of text that a Python worker turns into arrays at once (one longer text still goes in whole).
-CHUNK_CHARS = 1 << 21
+#: Bytes of text that a Python worker turns into arrays at once (one longer text still goes in whole).
+CHUNK_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spans(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive [lo, hi) ranges whose texts hold about ``limit`` characters; each has one text at least."""
+def spans(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive [lo, hi) ranges whose texts hold about ``limit`` bytes; each has one text at least."""
     lo = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if i > lo and size + n > limit:
             yield lo, i
             lo, size = i, 0
@@ -32,37 +34,112 @@ def spans(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield lo, len(texts)
 
 
+def give_back() -> None:
+    """Return a task's memory to the system: other stages use its worker again, which would keep what it doesn't need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list, list], Iterable[dict] | dict]],
     schema: str,
     key: str = "doc_id",
     text: str = "text",
-    limit: int = CHUNK_CHARS,
+    limit: int = CHUNK_BYTES,
     more: tuple[str, ...] = (),
 ) -> DataFrame:
     """Apply a function of (keys, texts, *more) to bounded batches of whole texts.
 
     ``make()`` runs once in each task and returns the function, so tables and caches live as long as the task.
-    Only the two named columns are read; other columns of ``docs`` are neither needed nor touched.
+    Only the named columns are read; other columns of ``docs`` are neither needed nor touched.
     """
     fields: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for lo, hi in spans(columns[1], limit):
-                out = call(*[c[lo:hi] for c in columns])
-                for part in [out] if isinstance(out, dict) else out:
-                    arrays = [x if isinstance(x := part[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for batch in batches:
+                for lo, hi in spans(batch.column(1), limit):
+                    out = call(*[c.slice(lo, hi - lo).to_pylist() for c in batch.columns])
+                    for part in [out] if isinstance(out, dict) else out:
+                        arrays = [x if isinstance(x := part[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
+                        yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            del call
+            give_back()
 
     read = [docs[key].alias("key"), docs[text].cast("string").alias("text"), *[docs[c] for c in more]]
     return docs.select(read).mapInArrow(run, fields)
 
 
+def keep_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text a function of bounded batches of whole texts says True of.
+
+    ``make()`` runs once in each task, as for map_texts.
+    """
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = make()
+        try:
+            for batch in batches:
+                texts = pc.cast(batch.column(place), pa.string())
+                for lo, hi in spans(texts, limit):
+                    keep = pa.array(call(texts.slice(lo, hi - lo).to_pylist()), pa.bool_())
+                    yield batch.slice(lo, hi - lo).filter(keep)
+        finally:
+            del call
+            give_back()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def marked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, mark), mark a hash of the text: rows that share a doc_id are told apart by it."""
+    read = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
+    return read.withColumn("mark", F.xxhash64("text"))
+
+
+def one_row_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest doc_id, then of the smallest mark; null ids come last.
+
+    ``grouped`` has (doc_id, mark, node, root) of every row of docs: rows of equal texts share a node, nodes of a group a
+    root. Minima are taken by node before they are by root, so many copies of one text don't meet in one task. Of wholly
+    equal rows, which are few where ids are unique, one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
+    nodes = grouped.groupBy("node", "root").agg(F.min(order).alias("first"))
+    first = durable(nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark"), "firsts")
+    rows = grouped.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    same = rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["mark"] == first["mark"])
+    gone = rows.join(first, same, "left_anti").select("doc_id", "mark")
+    twice = durable(rows.where("n > 1").join(first, same, "left_semi").select("doc_id", "mark"), "twice")
+    some = not twice.isEmpty()
+    drop = durable(gone.unionByName(twice) if some else gone, "gone")
+    name = unused(docs, "mark")
+    own = docs.withColumn(name, F.xxhash64(docs[text].cast("string")))
+
+    def among(rows: DataFrame):
+        return own[key].eqNullSafe(rows["doc_id"]) & (own[name] == rows["mark"])
+
+    kept = own.join(drop, among(drop), "left_anti").drop(name)
+    if some:
+        kept = kept.unionByName(own.join(twice, among(twice), "left_semi").dropDuplicates([key, name]).drop(name))
+    return kept
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one under the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep_texts, map_texts
 from .training import held_out, sample
 
 UNKNOWN = "und"
@@ -199,10 +199,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is told with LEAST_SCORE at least."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("double")
-    def judged(texts):
-        import pandas as pd
-
-        return pd.Series([-1.0 if x == UNKNOWN else s for x, s in shared.value.predict(list(texts))], dtype="float64")
+    def make():
+        return lambda texts: [x != UNKNOWN and s >= LEAST_SCORE for x, s in shared.value.predict(texts)]
 
-    return docs.where(judged(docs["text"].cast("string")) >= LEAST_SCORE)
+    return keep_texts(docs, make)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, release, shared_folder
+from .common import durable, map_texts, marked, release, shared_folder
 
 WINDOW = 35
 GRAM = 16
@@ -125,11 +125,6 @@ def sketches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     return map_texts(marked(docs), make, schema, more=("mark",))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """With mark: a hash of the text, so that rows that share a doc_id are told apart."""
-    return docs.select(docs["doc_id"], docs["text"].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-
-
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 

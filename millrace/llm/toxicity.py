@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep_texts, map_texts
 from .training import FOLDS, held_out, sample
 
 ORDERS = (5, 7)
@@ -135,14 +135,11 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic. Rows that share a doc_id are judged each by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("double")
-    def judged(texts):
-        import pandas as pd
-
+    def make():
         one = shared.value.scorer()
-        return pd.Series([one(t) for t in texts], dtype="float64")
+        return lambda texts: [one(t) < 0.5 for t in texts]
 
-    return docs.where(judged(docs["text"].cast("string")) < 0.5)
+    return keep_texts(docs, make)
 
 
 __all__ = ["FOLDS", "Model", "fit", "grams", "keep_clean", "score", "train"]
