@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts
+from .common import durable, map_texts, marked, one_row_each
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -23,6 +23,8 @@ MAX_BITS = 2
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 BLOCK = 1 << 17
+#: Fingerprints whose variants one task makes.
+NODES_OF_TASK = 40_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
@@ -38,7 +40,7 @@ def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS, seed: int = SEED
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=False)]
 
 
-def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
+def fingerprint_batch(texts: list[str | None], size: int = SHINGLE_WORDS) -> np.ndarray:
     """One unsigned fingerprint for each text: a bit is 1 if over half its shingle hashes have it."""
     hashes, sizes = [], []
     ones = np.zeros((len(texts), 64), np.int64)
@@ -56,7 +58,7 @@ def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
 
     totals, first = np.zeros(len(texts), np.int64), 0
     for i, text in enumerate(texts):
-        own = shingle_hashes(text)
+        own = shingle_hashes(text, size)
         totals[i] = len(own)
         for a in range(0, len(own), BLOCK):
             part = own[a : a + BLOCK]
@@ -75,25 +77,23 @@ def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
     return np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, mark, fp): the fingerprint's 64 bits as a signed long, mark a hash of the text."""
 
     def make():
-        return lambda keys, texts: {"doc_id": keys, "fp": fingerprint_batch(texts).view(np.int64)}
+        return lambda keys, texts, marks: {"doc_id": keys, "mark": marks, "fp": fingerprint_batch(texts, size).view(np.int64)}
 
-    return map_texts(docs, make, "doc_id long, fp long", key)
+    return map_texts(marked(docs, key), make, "doc_id long, mark long, fp long", more=("mark",))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """(u, v): verified links between distinct fingerprints that connect all within MAX_BITS bits of each other."""
     masks = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
     variants = F.concat(F.array("fp"), F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m)))
+    distinct = durable(prints.select("fp").where("fp is not null").distinct(), "distinct")
     met = (
-        prints.select("fp")
-        .where("fp is not null")
-        .distinct()
+        distinct.repartition(max(1, -(-distinct.count() // NODES_OF_TASK)))  # by count: few bytes become 65 times as many
         .select("fp", F.explode(variants).alias("variant"))
-        .repartition("variant")
         .groupBy("variant")
         .agg(F.collect_list("fp").alias("fps"))
         .where("size(fps) > 1")
@@ -103,18 +103,22 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
 
 
+def rooted(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, mark, node, root) of every row: its fingerprint and the one that its component is named by."""
+    prints = durable(fingerprints(docs, key, size), "prints")
+    roots = components(links(prints))
+    named = prints.withColumnRenamed("fp", "node").join(roots, "node", "left")
+    return named.select("doc_id", "mark", "node", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, fp and component_id, the smallest doc_id that its links reach (its own included)."""
-    prints = durable(fingerprints(docs, key), "prints")
-    roots = components(links(prints))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = durable(rooted, "nodes")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    rows = durable(rooted(docs, key), "rooted")
+    nodes = rows.groupBy("node", "root").agg(F.min("doc_id").alias("first"))
+    nodes = durable(nodes, "nodes")
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = nodes.join(least, "root").select("node", "component_id")
+    return rows.join(named, "node").select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -123,6 +127,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without those whose component has a smaller doc_id. Rows with a null doc_id stay."""
-    found = near_duplicates(docs, key).where("doc_id > component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(found, docs[key] == found["__drop"], "left_anti")
+    """One row of each component: that of the smallest doc_id, then of the smallest hash of its text; null ids last."""
+    return one_row_each(docs, durable(rooted(docs, key), "rooted"), key)

@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from millrace.llm import simhash
+from millrace.llm import copies, simhash
 
 
 def brute_print(text):
@@ -54,3 +54,22 @@ def test_components_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    a, b = "alpha beta gamma delta", "totally different words stand here"
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (9, "x", 4), (9, "x", 4), (9, "x", 5), (None, "own text of no id", 6), (None, "x", 7), (12, None, 8), (3, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    for one_of_each in (simhash.one_of_each, copies.one_of_each):
+        kept = one_of_each(docs)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert got == sorted([(1, a), (5, b), (9, "x"), (None, "own text of no id"), (3, "")], key=str)
+        assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    text = "many words " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, text + "x"), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.digests(docs).collect()}
+    assert got[1].fingerprint == f"{brute_print('many words ' * 3):016x}" and got[3].component_id == 1
