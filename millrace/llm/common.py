@@ -112,6 +112,28 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return read.withColumn("mark", F.xxhash64("text"))
 
 
+#: Bits of the filter that tells which rows may be among others: at most 8 MB are broadcast, however many rows there are.
+BITS = 1 << 26
+
+
+def flagged(rows: DataFrame, few: DataFrame, key: str, mark: str, flag: str) -> DataFrame:
+    """``rows`` with a column ``flag``: whether their (key, mark) may be among those (doc_id, mark) of ``few``; false is
+    certain. So only rows that matter are shuffled; where few are so many that all bits are set, all are."""
+
+    def place(df: DataFrame, key: str, mark: str):
+        return F.pmod(F.xxhash64(df[key], df[mark]), F.lit(BITS))
+
+    at = place(few, "doc_id", "mark")
+    bucket, bits = unused(rows, "bucket"), unused(rows, "bits")
+    made = few.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    own = place(rows, key, mark)
+    bit = F.bitmap_bit_position(own).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False)).alias(flag)
+    joined = rows.withColumn(bucket, F.bitmap_bucket_number(own)).join(F.broadcast(made), bucket, "left")
+    return joined.select(*[rows[c] for c in rows.columns], there)
+
+
 def one_row_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each group: that of the smallest doc_id, then of the smallest mark; null ids come last.
 
@@ -128,16 +150,17 @@ def one_row_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id", text:
     twice = durable(rows.where("n > 1").join(first, same, "left_semi").select("doc_id", "mark"), "twice")
     some = not twice.isEmpty()
     drop = durable(gone.unionByName(twice) if some else gone, "gone")
-    name = unused(docs, "mark")
-    own = docs.withColumn(name, F.xxhash64(docs[text].cast("string")))
+    name, flag = unused(docs, "mark"), unused(docs, "flag")
+    own = flagged(docs.withColumn(name, F.xxhash64(docs[text].cast("string"))), drop, key, name, flag)
 
     def among(rows: DataFrame):
         return own[key].eqNullSafe(rows["doc_id"]) & (own[name] == rows["mark"])
 
-    kept = own.join(drop, among(drop), "left_anti").drop(name)
+    maybe = own.where(flag)
+    kept = own.where(~F.col(flag)).unionByName(maybe.join(drop, among(drop), "left_anti"))
     if some:
-        kept = kept.unionByName(own.join(twice, among(twice), "left_semi").dropDuplicates([key, name]).drop(name))
-    return kept
+        kept = kept.unionByName(maybe.join(twice, among(twice), "left_semi").dropDuplicates([key, name]))
+    return kept.drop(name, flag)
 
 
 def shared_folder(spark: SparkSession) -> str:
