@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -134,6 +135,14 @@ def flagged(rows: DataFrame, few: DataFrame, key: str, mark: str, flag: str) ->
     return joined.select(*[rows[c] for c in rows.columns], there)
 
 
+def may_have(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """Those of ``rows`` whose value of a column (long) may be among that of ``few``, by a filter of the same kind."""
+    name, flag = unused(rows, "same"), unused(rows, "flag")
+    own = rows.withColumn(name, F.lit(0).cast("long"))
+    some = few.select(F.col(column).alias("doc_id"), F.lit(0).cast("long").alias("mark"))
+    return flagged(own, some, column, name, flag).where(flag).drop(name, flag)
+
+
 def one_row_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each group: that of the smallest doc_id, then of the smallest mark; null ids come last.
 
@@ -177,6 +186,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names in a folder, with a prefix, of what Spark has written to the end."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}*/_SUCCESS")
+    return [x.getPath().getParent().getName() for x in found.getFileSystem(conf).globStatus(found) or []]
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
@@ -185,7 +201,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Seconds between two releases at least.
+RELEASE_EVERY = 3.0
+_released = 0.0
+
+
 def release(spark: SparkSession) -> None:
     """Have shuffle files go that no table refers to any more; else they stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _released
+    if time.monotonic() - _released >= RELEASE_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()

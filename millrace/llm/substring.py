@@ -2,11 +2,13 @@
 
 Every window of WINDOW words is represented by an anchor: the hash of that GRAM-word sequence in it whose hash is least
 (the leftmost of equals). Equal windows have equal anchors, and neighbouring windows mostly share theirs, so a twelfth of
-the hashes stand for all windows. The index is a set of immutable runs, each sorted by hash with its number of
-occurrences; a batch is appended as a run, runs are compacted by merging, and a batch is merge-joined with the runs to
-find anchors that occur more than once. Only windows on such anchors are candidates; they are verified by two independent
-fingerprints (64 and 32 bits) over their whole word sequence, counted over all candidates. What is removed is thus decided by
-whole windows, never by anchors, and no window is capped or sampled.
+the hashes stand for all windows. The index is a set of immutable runs of anchors (hash, doc_id, mark), each sorted by
+hash. A new batch is merge-joined with the runs before it: anchors that it brings and that occur twice or more, there or in
+itself, make candidates of the batch's documents and of earlier ones. Their windows on such anchors are verified by two
+independent fingerprints (64 bits each) of all the words, which decide alone what is repeated; then the batch's anchors are
+appended as a run, and runs are compacted as they become many. What is found for earlier documents is added to what they
+had, so the results after any number of batches, in any order, are those of all documents at once. No window is capped or
+sampled.
 
 Defined results: a null or wordless text has no words and stays as it is; texts under WINDOW words lose nothing; repeated
 rows repeat each other's windows, so both lose them; words are kept unchanged and joined by one space.
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, marked, release, shared_folder
+from .common import durable, flagged, forget, map_texts, marked, may_have, release, shared_folder, subfolders, unused
 
 WINDOW = 35
 GRAM = 16
-#: Batches in which op9 appends its table to the index.
-BATCHES = 2
-#: Runs above which an append compacts.
+#: Batches in which op9 adds its table to the index, and runs above which it compacts.
+BATCHES, RUNS_OF_TABLE = 2, 1
+#: Runs above which an index compacts, where nothing else is said.
 MOST_RUNS = 8
 #: Distinct words that a task remembers before it starts afresh.
 CACHE_WORDS = 600_000
@@ -129,49 +131,120 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 
 
-class FingerprintIndex:
-    """Sorted immutable runs (hash, n) in a shared folder, merged as they become many."""
+class PassageIndex:
+    """Sorted immutable runs of anchors in a shared folder, with the sketches and findings of each batch.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS):
-        self.spark, self.most_runs, self.runs = spark, most_runs, []
-        self.path = path or f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-
-    def _write(self, counted: DataFrame) -> str:
-        run = f"{self.path}/run-{uuid.uuid4().hex}"
-        counted.sortWithinPartitions("hash").write.parquet(run)
-        release(self.spark)
-        return run
+    A state (which files count) is written after everything it names, so an index can be opened again from its path, and a
+    batch that fails leaves the state before it. Texts aren't kept: ``add`` looks them up in the corpus it is given.
+    """
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.schema("hash long, n long").parquet(*self.runs)
+    RUN = "hash long, doc_id long, mark long"
+    SKETCH = "doc_id long, mark long, n_words long, whole_sha256 string, hashes array<long>"
+    FOUND = "doc_id long, mark long, starts array<int>"
 
-    def append(self, hashes: DataFrame) -> None:
-        """Add a batch (column hash, one row for each occurrence) as a run."""
-        self.runs.append(self._write(hashes.groupBy("hash").agg(F.count("*").alias("n"))))
-        if len(self.runs) > self.most_runs:
+    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.most_runs, self.window, self.gram = spark, most_runs, window, gram
+        self.path = path or f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        self.files: dict[str, list[str]] = {"runs": [], "sketches": [], "found": []}
+        self.states = 0
+        if path and (numbers := [int(x.rsplit("-", 1)[1]) for x in subfolders(spark, path, "state-")]):
+            self.states = max(numbers)
+            row = spark.read.schema("runs array<string>, sketches array<string>, found array<string>").json(f"{path}/state-{self.states}").first()
+            self.files = {k: list(row[k] or []) for k in self.files}
+
+    def _commit(self) -> None:
+        self.states += 1
+        row = self.spark.createDataFrame([tuple(self.files.values())], "runs array<string>, sketches array<string>, found array<string>")
+        row.coalesce(1).write.json(f"{self.path}/state-{self.states}")
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        to = f"{self.path}/{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(to)
+        release(self.spark)
+        return to
+
+    @staticmethod
+    def _sorted(posts: DataFrame) -> DataFrame:
+        """In the order of the hash, by ranges that split a hash that very many documents have."""
+        return posts.repartitionByRange("hash", "doc_id", "mark").sortWithinPartitions("hash", "doc_id", "mark")
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        files = self.files[kind]
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+
+    def runs(self) -> DataFrame:
+        return self._read("runs", self.RUN)
+
+    def sketches(self) -> DataFrame:
+        return self._read("sketches", self.SKETCH)
+
+    def found(self) -> DataFrame:
+        """(doc_id, mark, starts) of the documents with repeated windows, of one for each sequence of words."""
+        return self._read("found", self.FOUND).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+
+    def add(self, batch: DataFrame, corpus: DataFrame) -> None:
+        """Take a batch in. ``corpus`` has the texts of all documents taken in so far, and of the batch."""
+        earlier = self.sketches().select("whole_sha256")
+        sketch = self._write(sketches(batch, self.window, self.gram), "sketch")
+        long = self.spark.read.schema(self.SKETCH).parquet(sketch).where(F.col("n_words") >= self.window)
+        # Rows with the same words repeat each other wholly, so one of them stands for all in the search of windows.
+        one = F.min(F.struct("doc_id", "mark", "hashes")).alias("one")
+        fresh = long.groupBy("whole_sha256").agg(one)
+        if self.files["sketches"]:
+            fresh = fresh.join(earlier, "whole_sha256", "left_anti")
+        posts = fresh.select("one.doc_id", "one.mark", F.explode("one.hashes").alias("hash")).select("hash", "doc_id", "mark")
+        run = self._write(self._sorted(posts), "run")
+        own = self.spark.read.schema(self.RUN).parquet(run)
+        repeated = durable(self._shared(own), "repeated")
+        both = own.unionByName(self.runs())
+        hits = may_have(both, repeated, "hash").join(repeated.hint("merge"), "hash")
+        hits = durable(hits.groupBy("doc_id", "mark").agg(F.collect_set("hash").alias("hashes")), "hits")
+        found = self._verify(hits, corpus)
+        files = {"runs": [*self.files["runs"], run], "sketches": [*self.files["sketches"], sketch]}
+        self.files = files | {"found": [*self.files["found"], self._write(found, "found")]}
+        self._commit()
+        for done in (repeated, hits):
+            forget(done)
+        if len(self.files["runs"]) > self.most_runs:
             self.compact()
 
+    def _shared(self, own: DataFrame) -> DataFrame:
+        """Hashes of a batch that occur twice or more in it and the runs before it: a merge join."""
+        new = own.groupBy("hash").agg(F.count("*").alias("n"))
+        if not self.files["runs"]:
+            return new.where("n > 1").select("hash")
+        old = self.runs().groupBy("hash").agg(F.count("*").alias("n_old"))
+        return new.join(old.hint("merge"), "hash", "left").where("n + coalesce(n_old, 0) > 1").select("hash")
+
+    def _verify(self, hits: DataFrame, corpus: DataFrame) -> DataFrame:
+        """(doc_id, mark, starts): windows on the hashes of the hits that are found twice among them, by all their words."""
+        texts = flagged(marked(corpus), hits, "doc_id", "mark", "flag").where("flag")
+        # A row that is there twice counts twice; it has lost all its words as a twin of itself.
+        texts = texts.join(hits, same_row(texts, hits)).select(texts["doc_id"], texts["mark"], "text", "hashes")
+        candidates = durable(texts, "candidates")
+        every = windows(candidates, self.window, self.gram)
+        twice = durable(every.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
+        some = may_have(every, twice, "h1").join(twice, ["h1", "h2"])
+        starts = durable(some.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts")), "starts")
+        for done in (candidates, twice):
+            forget(done)
+        return starts
+
     def compact(self) -> None:
         """Merge all runs into one. The old runs' files are left: a reader may still be at them."""
-        if len(self.runs) > 1:
-            self.runs = [self._write(self._read().groupBy("hash").agg(F.sum("n").alias("n")))]
-
-    def repeated(self) -> DataFrame:
-        """Hashes with two or more occurrences in all runs together."""
-        return self._read().groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-
-    def hits(self, owned: DataFrame) -> DataFrame:
-        """Rows of a batch (column hash and others) whose hash the runs hold twice or more: a merge join."""
-        return owned.join(self.repeated().hint("merge"), "hash")
+        if len(self.files["runs"]) > 1:
+            run = self._write(self._sorted(self.runs()), "run")
+            self.files = self.files | {"runs": [run]}
+            self._commit()
 
 
 def windows(candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(row, start, h1, h2): each window of the candidates (row, text, hashes) that stands on one of the hashes."""
+    """(doc_id, mark, start, h1, h2): each window of the candidates (doc_id, mark, text, hashes) on one of the hashes."""
 
     def make():
         table = Words()
 
-        def call(rows: list, texts: list, hashes: list):
+        def call(keys: list, texts: list, marks: list, hashes: list):
             split = [split_words(t) for t in texts]
             doc = np.repeat(np.arange(len(split)), [len(w) for w in split])
             lanes = table.hashes(split)
@@ -180,17 +253,18 @@ def windows(candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             wanted = np.unique(np.concatenate([np.array(h, np.int64) for h in hashes] or [np.zeros(0, np.int64)]))
             start = start[np.isin(grams[at].view(np.int64), wanted)] if len(start) else start
             h1 = rolled(lanes[:, 0], window, BASE[0])[start].view(np.int64)
-            h2 = (rolled(lanes[:, 1], window, BASE[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            h2 = rolled(lanes[:, 1], window, BASE[1])[start].view(np.int64)
             first = np.r_[0, np.cumsum([len(w) for w in split])]
             owner = doc[start] if len(start) else start
-            row = np.array(rows, np.int64)[owner]
+            key, mark = (pa.array(x, pa.int64()).take(pa.array(owner)) for x in (keys, marks))
             for i in range(0, len(start), 1 << 18):
                 part = slice(i, i + (1 << 18))
-                yield {"row": row[part], "start": (start - first[owner])[part], "h1": h1[part], "h2": h2[part]}
+                at = (start - first[owner])[part].astype(np.int32)
+                yield {"doc_id": key[part], "mark": mark[part], "start": at, "h1": h1[part], "h2": h2[part]}
 
         return call
 
-    return map_texts(candidates, make, "row long, start int, h1 long, h2 int", key="row", more=("hashes",))
+    return map_texts(candidates, make, "doc_id long, mark long, start int, h1 long, h2 long", more=("mark", "hashes"))
 
 
 def removed(n: int, starts: list[int] | None, window: int) -> np.ndarray:
@@ -202,44 +276,33 @@ def removed(n: int, starts: list[int] | None, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: sketches of all documents; (whole_sha256) of the word sequences that several rows have, of a window
-    at least; (doc_id, mark, text, starts) of the documents with repeated windows among the others.
+def indexed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> PassageIndex:
+    """A new index of all documents, taken in by batches."""
+    index = PassageIndex(docs.sparkSession, most_runs=RUNS_OF_TABLE, window=window, gram=gram)
+    for k in range(batches):  # every document is in one of the batches
+        index.add(docs.where(F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches)) == k), docs)
+    return index
 
-    Rows with the same words repeat each other wholly, so one of them stands for all in the search of windows.
-    """
-    spark = docs.sparkSession
-    sketch = durable(sketches(docs, window, gram), "sketches")
+
+def repeats(index: PassageIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: sketches of all documents; (whole_sha256) of the word sequences that several rows have, of a window
+    at least; (doc_id, mark, starts) of the documents with repeated windows, one for each sequence of words."""
+    window = index.window
+    sketch = index.sketches()
     long = sketch.where(F.col("n_words") >= window)
-    one = F.first(F.struct("doc_id", "mark", "hashes")).alias("one")
-    distinct = long.groupBy("whole_sha256").agg(F.count("*").alias("copies"), one)
-    distinct = durable(distinct.select("whole_sha256", "copies", "one.*"), "distinct")
-    index = FingerprintIndex(spark)
-    owned = distinct.select("doc_id", "mark", F.explode("hashes").alias("hash"))
-    for k in range(BATCHES):  # every document is in one of the batches
-        index.append(owned.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BATCHES)) == k).select("hash"))
-    index.compact()
-    hit = durable(index.hits(owned).groupBy("doc_id", "mark").agg(F.collect_set("hash").alias("hashes")), "hits")
-    texts = marked(docs)
-    candidates = texts.join(hit, same_row(texts, hit)).select(texts["doc_id"], texts["mark"], "text", "hashes")
-    candidates = durable(candidates.withColumn("row", F.monotonically_increasing_id()), "candidates")
-
-    found = windows(candidates, window, gram)
-    twice = durable(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
-    starts = found.join(twice, ["h1", "h2"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
-    starts = durable(starts, "starts")
-    twins = distinct.where("copies > 1").select("whole_sha256")
-    return sketch, twins, candidates.join(starts, "row").select("doc_id", "mark", "text", "starts")
-
-
-def changes(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False
-) -> tuple[DataFrame, DataFrame]:
+    twins = long.groupBy("whole_sha256").agg(F.count("*").alias("copies")).where("copies > 1").select("whole_sha256")
+    return sketch, twins, durable(index.found(), "found")
+
+
+def changes(docs: DataFrame, index: PassageIndex, digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sketches of all documents, and (doc_id, mark, n_removed, kept) of each that loses words.
 
     kept is the text of the words that stay, joined by one space, or with ``digest`` its SHA-256.
     """
-    sketch, twins, hit = repeats(docs, window, gram)
+    sketch, twins, found = repeats(index)
+    window = index.window
+    texts = flagged(marked(docs), found, "doc_id", "mark", "flag").where("flag")
+    hit = texts.join(found, same_row(texts, found)).select(texts["doc_id"], texts["mark"], "text", "starts")
 
     def make():
         def call(keys: list, texts: list, marks: list, starts: list) -> dict:
@@ -262,9 +325,10 @@ def changes(
     return sketch, some.unionByName(whole).groupBy("doc_id", "mark").agg(most).select("doc_id", "mark", "most.*")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    sketch, changed = changes(docs, window, gram, digest=True)
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, index: PassageIndex | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space. ``docs`` are those
+    of the index, or get a new one."""
+    sketch, changed = changes(docs, index or indexed(docs, window, gram), digest=True)
     changed = changed.withColumnRenamed("kept", "kept_sha256")
     return sketch.join(changed, same_row(sketch, changed), "left").select(
         sketch["doc_id"],
@@ -274,13 +338,16 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeated passages taken out of text; texts that have none are as they were."""
-    _, changed = changes(docs, window, gram)
-    changed = changed.select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")
-    )
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark"))
-    return docs.join(changed, on, "left").select(
-        [F.coalesce("__kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    )
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, index: PassageIndex | None = None) -> DataFrame:
+    """``docs`` with the repeated passages taken out of text; texts that have none are as they were. ``docs`` are those of
+    the index, or get a new one."""
+    _, changed = changes(docs, index or indexed(docs, window, gram))
+    mark, flag = unused(docs, "mark"), unused(docs, "flag")
+    new, own_id, own_mark = unused(docs, "kept"), unused(docs, "changed_id"), unused(docs, "changed_mark")
+    changed = durable(changed.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), F.col("kept").alias(new)), "changed")
+    few = changed.select(F.col(own_id).alias("doc_id"), F.col(own_mark).alias("mark"))
+    own = flagged(docs.withColumn(mark, F.xxhash64(docs["text"].cast("string"))), few, "doc_id", mark, flag)
+    maybe = own.where(flag)
+    joined = maybe.join(changed, maybe["doc_id"].eqNullSafe(changed[own_id]) & (maybe[mark] == changed[own_mark]), "left")
+    now = [F.coalesce(new, maybe["text"]).alias("text") if c == "text" else maybe[c] for c in docs.columns]
+    return own.where(~F.col(flag)).select(*docs.columns).unionByName(joined.select(now))

@@ -52,9 +52,37 @@ def test_texts_lose_their_repeats_and_keep_their_columns(spark):
     assert substring.digests(docs.limit(0)).count() == 0
 
 
-def test_index_counts_over_runs_and_compactions(spark):
-    index = substring.FingerprintIndex(spark, most_runs=2)
-    for batch in ([1, 2, 3], [3, 4], [5, 5], [1, 6]):
-        index.append(spark.createDataFrame([(x,) for x in batch], "hash long"))
-    assert sorted(r.hash for r in index.repeated().collect()) == [1, 3, 5]
-    assert len(index.runs) <= 2
+@pytest.mark.parametrize("batches,most_runs,order", [(1, 1, 1), (4, 2, 1), (3, 8, -1)])
+def test_batches_in_any_number_and_order_give_the_whole(spark, batches, most_runs, order, tmp_path):
+    table = rows(8)
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    path = f"file://{tmp_path}/index"
+    taken = docs.limit(0)
+    for k in list(range(batches))[::order]:
+        index = substring.PassageIndex(spark, path, most_runs, 8, 3)  # opened again for every batch
+        batch = docs.where(f"doc_id % {batches} = {k}")
+        taken = taken.unionByName(batch)
+        index.add(batch, taken)
+        assert len(index.files["runs"]) <= most_runs
+        hashes = [r.hash for r in spark.read.parquet(index.files["runs"][-1]).coalesce(1).collect()]
+        assert hashes and len(index.files["sketches"]) <= batches
+    index = substring.PassageIndex(spark, path, most_runs, 8, 3)
+    got = sorted(tuple(r) for r in substring.digests(docs, 8, 3, index).collect())
+    assert got == brute(table, 8)
+
+
+def test_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    long = " ".join(f"w{i}" for i in range(300_000))
+    table = [(1, f"{long} {passage}"), (2, f"x {passage} y"), (3, long[: len(long) // 2])]
+    got = sorted(tuple(r) for r in substring.digests(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert got == brute(table, 35)
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"a {same}", 1, 2, 3, 4), (1, f"a {same}", 1, 2, 3, 4), (1, f"b {same}", 5, 6, 7, 8), (2, None, 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int, flag int, kept int, starts int")
+    got = substring.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.mark) for r in got.collect() if r.text is not None) == [(1, "", 1), (1, "", 1), (1, "b", 5)]
