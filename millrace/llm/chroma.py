@@ -1,17 +1,23 @@
 """Chroma audio fingerprints: packed integers from pitch-class frames, aligned by offset histograms and bit errors.
 
 A recording (16-bit mono samples) becomes frames of energies of the 12 pitch classes. Over the integral image of frames and
-classes, each of 16 rectangle filters compares two areas and gives 2 bits; 32 bits make one integer for each position. Two
-recordings are aligned at the offset of the least share of differing bits over the overlap (the most equal integers, then
-the smallest offset, of equals). Offsets count whose overlap has LEAST_OVERLAP positions, or LEAST_COMMON equal integers.
-Every query is compared with every class at every offset, in blocks: noise can change each integer, so equal ones don't
-lead to all alignments.
+classes, each of 16 rectangle filters compares two areas and gives 2 bits (Gray-coded, so a small change flips one); 32 bits
+make one integer for each position. Two recordings are aligned at the offset of the least share of differing bits over the
+overlap (the most equal integers, then the smallest offset, of equals), if that is MAX_BIT_ERROR at most. Offsets count
+whose overlap has LEAST_OVERLAP positions, or LEAST_COMMON equal integers.
+
+Offsets to verify come from an index: every integer is filed under each three of its four bytes, and a query's integer that
+meets another there votes for an offset, unless the integers around (AROUND positions before and after, where both have
+them) differ in over MOST_AROUND of their bits. Of a run of equal integers only the ends are filed, so a held note or
+silence votes with its ends, not with every position against every other. The votes of a pair make its offset histogram;
+every offset in it is verified over the whole overlap. Recall against all offsets of all pairs is measured by the tests.
 
 Recordings with the same fingerprint are one class, represented by its smallest id, so copies are never paired with each
 other; queries are the classes that hold an id divisible by QUERY_EVERY, against all classes.
 
 Defined results: null audio and audio shorter than one filter's frames has an empty fingerprint; such recordings are one
-class without alignments; repeated rows stay and share their class; an empty table gives no rows.
+class without alignments; repeated rows stay and share their class; rows that share an id but not their audio are of
+different classes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, may_have
 
 RATE = 4000
 FRAME, HOP = 1024, 256
@@ -36,6 +42,8 @@ QUERY_EVERY = 50
 LEAST_COMMON = 3
 LEAST_OVERLAP = SPAN
 MAX_BIT_ERROR = 0.2
+#: How far the integers stand that a vote is checked by, and the most of all bits that may differ there.
+AROUND, MOST_AROUND = 8, 0.36
 
 
 def filters() -> list[tuple[int, int, int, int, int]]:
@@ -86,7 +94,8 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         else:
             part = area(t + size // 4, size // 2, c, classes)
         ratio = np.log((part + 0.01) / (whole - part + 0.01))
-        out = out << np.uint32(2) | np.digitize(ratio, [-BOUND, 0.0, BOUND]).astype(np.uint32)
+        level = np.digitize(ratio, [-BOUND, 0.0, BOUND]).astype(np.uint32)
+        out = out << np.uint32(2) | level ^ level >> np.uint32(1)
     return out
 
 
@@ -115,93 +124,76 @@ def prints(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=p
     return read.mapInArrow(run, "rec_id long, ints array<long>, fp_sha256 string")
 
 
-#: Recordings and integers of a block of classes, and recordings of a block of queries.
-BLOCK, BLOCK_INTS, QUERY_BLOCK = 2048, 1 << 18, 256
-
-
-def blocks(classes: DataFrame, size: int) -> DataFrame:
-    """(ids, prints) of up to ``size`` classes (class_id, ints) in a row, the integers as bytes."""
-
-    def run(batches):
-        ids, prints, held = [], [], 0
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([prints], pa.list_(pa.binary()))], ["ids", "prints"])
-
-        for batch in batches:
-            for key, ints in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if ids and (len(ids) >= size or held + len(ints) > BLOCK_INTS):
-                    yield row()
-                    ids, prints, held = [], [], 0
-                ids.append(key)
-                prints.append(ints.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-                held += len(ints)
-        if ids:
-            yield row()
-
-    parts = max(1, -(-classes.count() // size))
-    return classes.repartition(parts).mapInArrow(run, "ids array<long>, prints array<binary>")
-
-
-def compare(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of one print against the columns of b, prints of one length: column, shift, equal integers and bit error of each
-    column's best alignment, where it has one."""
-    n, size = b.shape[1], b.shape[0]
-    best = np.full(n, 2.0)
-    shifts, commons = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for shift in range(LEAST_COMMON - size, len(a) - LEAST_COMMON + 1):
-        # a[i + shift] stands against b[i].
+def posts(classes: DataFrame) -> DataFrame:
+    """(node, key, at, own, before, after) from (node, ints): what is filed in the index."""
+    i = F.sequence(F.lit(0), F.size("ints") - 1)
+    ends = F.filter(
+        i, lambda k: F.coalesce(F.get("ints", k) != F.get("ints", k - 1), F.lit(True)) | F.coalesce(F.get("ints", k) != F.get("ints", k + 1), F.lit(True))
+    )
+    at = F.explode(ends).alias("at")
+    filed = classes.where("size(ints) > 0").select("node", "ints", at)
+    own = F.get("ints", F.col("at"))
+    keys = F.array(*[own.bitwiseAND(F.lit(0xFFFFFFFF ^ 0xFF << 8 * byte)) + F.lit(byte << 32) for byte in range(4)])
+    around = [F.get("ints", F.col("at") - AROUND).alias("before"), F.get("ints", F.col("at") + AROUND).alias("after")]
+    return filed.select("node", F.explode(keys).alias("key"), "at", own.alias("own"), *around)
+
+
+def candidates(classes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, other, shifts): the offset histograms' places, of query nodes against all others."""
+    asked = posts(classes.join(queries, "node", "left_semi")).withColumnsRenamed({"node": "query", "at": "q_at"})
+    asked = durable(asked.withColumnsRenamed({"own": "q_own", "before": "q_before", "after": "q_after"}), "asked")
+    others = may_have(posts(classes), asked, "key").withColumnRenamed("node", "other")
+    met = others.join(asked, "key").where("other != query")
+    parts = ("before", "after")
+    wrong = sum((F.coalesce(F.bit_count(F.col(c).bitwiseXOR(F.col(f"q_{c}"))), F.lit(0)) for c in parts), F.bit_count(F.col("own").bitwiseXOR(F.col("q_own"))))
+    seen = sum((F.when(F.col(c).isNotNull() & F.col(f"q_{c}").isNotNull(), 32).otherwise(0) for c in parts), F.lit(32))
+    votes = met.where(wrong <= MOST_AROUND * seen)
+    return votes.groupBy("query", "other").agg(F.collect_set(F.col("q_at") - F.col("at")).alias("shifts"))
+
+
+def best_shift(a: np.ndarray, b: np.ndarray, shifts) -> tuple[float, int, int] | None:
+    """(bit error, -equal integers, shift) of the best of the shifts at which two prints align; a[i + shift] stands against
+    b[i]."""
+    best = None
+    for shift in shifts:
         first_a, first_b = max(shift, 0), max(-shift, 0)
-        length = min(len(a) - first_a, size - first_b)
-        if length < LEAST_COMMON:
+        length = min(len(a) - first_a, len(b) - first_b)
+        if length < 1:
             continue
-        bits = np.bitwise_count(b[first_b : first_b + length] ^ a[first_a : first_a + length, None])
-        # Seven counts of at most 32 fit a byte.
-        wrong = np.add.reduceat(bits, np.arange(0, length, 7), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
-        error = wrong / (32.0 * length)
-        at = np.flatnonzero((error <= MAX_BIT_ERROR) & (error <= best))
-        if len(at):
-            common = (bits[:, at] == 0).sum(0)
-            better = (error[at] < best[at]) | (common > commons[at])
-            use = better & ((common >= LEAST_COMMON) | (length >= LEAST_OVERLAP))
-            at = at[use]
-            best[at], shifts[at], commons[at] = error[at], shift, common[use]
-    found = np.flatnonzero(best <= MAX_BIT_ERROR)
-    return found, shifts[found], commons[found], best[found]
+        bits = np.bitwise_count(a[first_a : first_a + length] ^ b[first_b : first_b + length])
+        error, common = int(bits.sum()) / (32.0 * length), int((bits == 0).sum())
+        if error <= MAX_BIT_ERROR and (length >= LEAST_OVERLAP or common >= LEAST_COMMON):
+            found = (error, -common, shift)
+            best = found if best is None else min(best, found)
+    return best
 
 
-ALIGNED = "class_id long, other_id long, shift int, common long, bit_error double"
+ALIGNED = "query long, other long, shift int, common long, bit_error double"
 
 
 def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(class_id, other_id, shift, common, bit_error) of query classes with every other class they align with.
+    """(query, other, shift, common, bit_error) of query nodes with every other node they align with.
 
-    ``classes`` is (class_id, ints), ``queries`` (class_id).
+    ``classes`` is (node, ints), ``queries`` (node); nodes are unique.
     """
-    asked = durable(blocks(classes.join(queries, "class_id", "left_semi"), QUERY_BLOCK), "asked")
-    others = durable(blocks(classes, BLOCK), "others")
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("prints").alias("q_prints"))
-    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.count() * others.count() // 16)
+    pairs = durable(candidates(classes, queries), "pairs")
+    ends = pairs.select("query", "other", "shifts")
+    left = classes.select(F.col("node").alias("query"), F.col("ints").alias("a"))
+    right = classes.select(F.col("node").alias("other"), F.col("ints").alias("b"))
 
     def run(batches):
-        names = [part.split()[0] for part in ALIGNED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q_prints, ids, prints = (c[i].as_py() for c in batch.columns)
-                ids, sizes = np.array(ids, np.int64), np.array([len(x) // 4 for x in prints])
-                groups = []
-                for size in np.unique(sizes):
-                    of = np.flatnonzero(sizes == size)
-                    groups.append((ids[of], np.ascontiguousarray(np.frombuffer(b"".join(prints[k] for k in of), "<u4").reshape(-1, size).T)))
-                for q, raw in zip(q_ids, q_prints, strict=True):
-                    for of, columns in groups:
-                        found, *rest = compare(np.frombuffer(raw, "<u4"), columns)
-                        other = of[found] != q
-                        out = [np.full(int(other.sum()), q), of[found][other], *[x[other] for x in rest]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-
-    return asked.crossJoin(others).repartition(parts).mapInArrow(run, ALIGNED)
+            rows = []
+            for query, other, shifts, a, b in zip(*batch.columns, strict=True):
+                prints = [x.values.to_numpy(zero_copy_only=False).astype(np.uint32) for x in (a, b)]
+                if best := best_shift(*prints, shifts.as_py()):
+                    rows.append((query.as_py(), other.as_py(), best[2], -best[1], best[0]))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+            names = [part.split()[0] for part in ALIGNED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    read = ends.join(left, "query").join(right, "other").select("query", "other", "shifts", "a", "b")
+    return read.mapInArrow(run, ALIGNED)
 
 
 def match(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=pcm) -> DataFrame:
@@ -211,13 +203,16 @@ def match(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=pc
     classes = made.groupBy("fp_sha256").agg(
         F.min("rec_id").alias("class_id"), F.first("ints").alias("ints"), F.max(F.expr(f"rec_id % {QUERY_EVERY} = 0")).alias("asked")
     )
-    classes = durable(classes, "classes")
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     filled = classes.where("size(ints) > 0 and class_id is not null")
-    found = alignments(filled.select("class_id", "ints"), filled.where("asked").select("class_id"))
+    found = alignments(filled.select("node", "ints"), filled.where("asked").select("node"))
+    named = found.join(classes.select(F.col("node").alias("other"), F.col("class_id").alias("other_id")), "other")
     best = F.min(F.struct("bit_error", "other_id", "shift")).alias("best")
-    links = found.groupBy("class_id").agg(F.count("*").alias("n_links"), best)
-    rows = made.join(classes.select("fp_sha256", "class_id", "asked"), "fp_sha256").join(links, "class_id", "left")
-    return rows.select(
+    links = named.groupBy("query").agg(F.count("*").alias("n_links"), best)
+    known = durable(
+        classes.join(links, classes["node"] == links["query"], "left").select("fp_sha256", "class_id", "asked", "n_links", "best"), "known"
+    )
+    return made.join(known, "fp_sha256").select(
         "rec_id",
         F.size("ints").cast("long").alias("n_ints"),
         "fp_sha256",
@@ -233,11 +228,38 @@ NOTE = 240
 
 
 def tone(vector: list[float] | None) -> np.ndarray:
-    """A vector of ``embeddings`` as a recording, one note for each of its numbers.
-
-    The synthetic tables hold no audio; this gives media whose near copies are the vectors' near copies.
-    """
+    """A vector of ``embeddings`` as a recording, one note for each of its numbers."""
     t = np.arange(NOTE) / RATE
     x = np.array([0.0 if v is None or not np.isfinite(v) else v for v in vector or []], np.float64)
     note = np.round(24 * np.tanh(3 * x))[:, None]
     return (12000 * np.sin(2 * np.pi * 330.0 * 2 ** (note / 12) * t) * np.hanning(NOTE)).astype(np.int16).ravel()
+
+
+#: Deviation of the noise of a rendition, against a peak of 12,000.
+NOISE = 1000
+
+
+def rendition(samples: np.ndarray, seed: int) -> np.ndarray:
+    """Another take of a recording: its ends cut off, begun later, with noise; the same for the same seed."""
+    rng = np.random.default_rng(seed)
+    cut = samples[len(samples) // 9 + 37 : len(samples) - len(samples) // 9]
+    late = np.concatenate([np.zeros(int(rng.integers(100, 900))), cut])
+    return np.clip(late + rng.normal(0, NOISE, len(late)), -32768, 32767).astype(np.int16)
+
+
+def synthetic(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(rec_id, audio) of vectors, for ``sound``, and of a rendition of each query's.
+
+    The synthetic tables hold no audio; tones of different vectors don't come near each other, so the renditions (ids
+    -1 - id) are what there is to find.
+    """
+    rows = vectors.select(vectors[key].cast("long").alias("rec_id"), vectors[vector].alias("vector"))
+    takes = rows.where(f"rec_id % {QUERY_EVERY} = 0").select((-1 - F.col("rec_id")).alias("rec_id"), "vector")
+    both = rows.withColumn("take", F.lit(False)).unionByName(takes.withColumn("take", F.lit(True)))
+    return both.select("rec_id", F.struct("rec_id", "vector", "take").alias("audio"))
+
+
+def sound(row: dict) -> np.ndarray:
+    """Samples of a row of ``synthetic``."""
+    samples = tone(row["vector"])
+    return rendition(samples, -1 - row["rec_id"]) if row["take"] else samples

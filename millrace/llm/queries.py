@@ -52,7 +52,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.match(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.tone)
+    media = chroma.synthetic(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return chroma.match(media, decode=chroma.sound)
 
 
 def queries() -> dict[str, Query]:
