@@ -7,8 +7,8 @@ overlap (the most equal integers, then the smallest offset, of equals), if that
 whose overlap has LEAST_OVERLAP positions, or LEAST_COMMON equal integers.
 
 Offsets to verify come from an index: every integer is filed under each three of its four bytes, and a query's integer that
-meets another there votes for an offset, unless the integers around (AROUND positions before and after, where both have
-them) differ in over MOST_AROUND of their bits. Of a run of equal integers only the ends are filed, so a held note or
+meets another there votes for an offset, unless the integers around (those of AROUND positions before and after that both
+have) differ in over MOST_AROUND of their bits. Of a run of equal integers only the ends are filed, so a held note or
 silence votes with its ends, not with every position against every other. The votes of a pair make its offset histogram;
 every offset in it is verified over the whole overlap. Recall against all offsets of all pairs is measured by the tests.
 
@@ -42,8 +42,8 @@ QUERY_EVERY = 50
 LEAST_COMMON = 3
 LEAST_OVERLAP = SPAN
 MAX_BIT_ERROR = 0.2
-#: How far the integers stand that a vote is checked by, and the most of all bits that may differ there.
-AROUND, MOST_AROUND = 8, 0.36
+#: How far the integers stand that a vote is checked by, and the most of their bits that may differ.
+AROUND, MOST_AROUND = (6, 12), 0.34
 
 
 def filters() -> list[tuple[int, int, int, int, int]]:
@@ -124,30 +124,31 @@ def prints(media: DataFrame, key: str = "rec_id", audio: str = "audio", decode=p
     return read.mapInArrow(run, "rec_id long, ints array<long>, fp_sha256 string")
 
 
+PLACES = [sign * k for k in AROUND for sign in (-1, 1)]
+
+
 def posts(classes: DataFrame) -> DataFrame:
-    """(node, key, at, own, before, after) from (node, ints): what is filed in the index."""
+    """(node, key, at, around) from (node, ints): what is filed in the index, around being the integers at PLACES."""
     i = F.sequence(F.lit(0), F.size("ints") - 1)
     ends = F.filter(
         i, lambda k: F.coalesce(F.get("ints", k) != F.get("ints", k - 1), F.lit(True)) | F.coalesce(F.get("ints", k) != F.get("ints", k + 1), F.lit(True))
     )
-    at = F.explode(ends).alias("at")
-    filed = classes.where("size(ints) > 0").select("node", "ints", at)
+    filed = classes.where("size(ints) > 0").select("node", "ints", F.explode(ends).alias("at"))
     own = F.get("ints", F.col("at"))
     keys = F.array(*[own.bitwiseAND(F.lit(0xFFFFFFFF ^ 0xFF << 8 * byte)) + F.lit(byte << 32) for byte in range(4)])
-    around = [F.get("ints", F.col("at") - AROUND).alias("before"), F.get("ints", F.col("at") + AROUND).alias("after")]
-    return filed.select("node", F.explode(keys).alias("key"), "at", own.alias("own"), *around)
+    around = [F.get("ints", F.col("at") + k).alias(f"a{n}") for n, k in enumerate(PLACES)]
+    return filed.select("node", F.explode(keys).alias("key"), "at", *around)
 
 
 def candidates(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, other, shifts): the offset histograms' places, of query nodes against all others."""
     asked = posts(classes.join(queries, "node", "left_semi")).withColumnsRenamed({"node": "query", "at": "q_at"})
-    asked = durable(asked.withColumnsRenamed({"own": "q_own", "before": "q_before", "after": "q_after"}), "asked")
+    asked = durable(asked.withColumnsRenamed({f"a{n}": f"q{n}" for n in range(len(PLACES))}), "asked")
     others = may_have(posts(classes), asked, "key").withColumnRenamed("node", "other")
-    met = others.join(asked, "key").where("other != query")
-    parts = ("before", "after")
-    wrong = sum((F.coalesce(F.bit_count(F.col(c).bitwiseXOR(F.col(f"q_{c}"))), F.lit(0)) for c in parts), F.bit_count(F.col("own").bitwiseXOR(F.col("q_own"))))
-    seen = sum((F.when(F.col(c).isNotNull() & F.col(f"q_{c}").isNotNull(), 32).otherwise(0) for c in parts), F.lit(32))
-    votes = met.where(wrong <= MOST_AROUND * seen)
+    pairs = [(F.col(f"a{n}"), F.col(f"q{n}")) for n in range(len(PLACES))]
+    wrong = sum((F.coalesce(F.bit_count(a.bitwiseXOR(q)), F.lit(0)) for a, q in pairs), F.lit(0))
+    seen = sum((F.when(a.isNotNull() & q.isNotNull(), 32).otherwise(0) for a, q in pairs), F.lit(0))
+    votes = others.join(asked, "key").where("other != query").where(wrong <= MOST_AROUND * seen)
     return votes.groupBy("query", "other").agg(F.collect_set(F.col("q_at") - F.col("at")).alias("shifts"))
 
 
