@@ -27,8 +27,8 @@ from .common import durable, map_texts
 from .substring import split_words
 
 MIN_WORDS_KEPT = 50
-MIN_CHARS = 200
-MIN_WORDS = 50
+MIN_CHARS = 500
+MIN_WORDS = 100
 #: Common words of a reference.
 COMMON = 40
 MAX_CLASS_DISTANCE = 0.29
