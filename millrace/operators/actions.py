@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,23 +38,98 @@ class Registry:
         return actions.withColumn("code", code).withColumn("status", F.when(code.isNull(), "ready").otherwise("errored"))
 
     def run_batch(self, ready: DataFrame, batch_id: int = 0) -> DataFrame:
-        """Run ready actions where they are, in partitions; returns them with status completed or failed."""
+        """Run ready actions where they are, in partitions; returns them with status completed or failed.
+
+        An action is a function, a class (made once in a partition) or a Process (one child for a partition).
+        """
         runs = {a.name: a.run for a in self.actions.values() if a.run}
 
         def call(batches):
-            for rows in batches:
-                status, code, message = [], [], []
-                for cmd, params in zip(rows["cmd"], rows["vars"], strict=True):
-                    try:
-                        runs[cmd](**json.loads(params or "{}"))
-                        status.append("completed"), code.append(None), message.append(None)
-                    except Exception as error:  # an action's failure is a result
-                        status.append("failed"), code.append(INTERNAL_ERROR), message.append(str(error))
-                yield rows.assign(status=status, code=code, message=message).astype({"code": "Int32"})
+            made = {}
+            try:
+                for rows in batches:
+                    status, code, message = [], [], []
+                    for cmd, params in zip(rows["cmd"], rows["vars"], strict=True):
+                        try:
+                            if cmd not in made:
+                                made[cmd] = runs[cmd].start() if isinstance(runs[cmd], Process) else runs[cmd]() if isinstance(runs[cmd], type) else runs[cmd]
+                            made[cmd](**json.loads(params or "{}"))
+                            status.append("completed"), code.append(None), message.append(None)
+                        except Exception as error:  # an action's failure is a result
+                            if isinstance(runs.get(cmd), Process) and cmd in made and not made[cmd].alive:
+                                made.pop(cmd).stop()  # the next action gets a new child
+                            status.append("failed"), code.append(getattr(error, "code", INTERNAL_ERROR)), message.append(str(error))
+                    yield rows.assign(status=status, code=code, message=message).astype({"code": "Int32"})
+            finally:
+                for child in made.values():
+                    if isinstance(child, Child):
+                        child.stop()
 
         read = ready.where("status = 'ready'").select("cmd", "vars")
         return read.mapInPandas(call, "cmd string, vars string, status string, code int, message string")
 
+    def sink(self, path: str):
+        """For foreachBatch: dispatches a batch of (cmd, vars), runs what is ready and appends the outcome of every action to
+        a status table. A batch that comes again replaces its own rows."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            dispatched = self.dispatch(batch)
+            errored = dispatched.where("status = 'errored'").select("cmd", "vars", "status", "code", F.lit(None).cast("string").alias("message"))
+            done = self.run_batch(dispatched, batch_id).unionByName(errored)
+            done.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+        return write
+
+
+class ActionError(RuntimeError):
+    def __init__(self, code: int, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+@dataclass(frozen=True)
+class Process:
+    """A command that answers JSON-RPC requests (method run), a line each, on its standard output."""
+
+    command: tuple[str, ...]
+
+    def start(self) -> Child:
+        return Child(self.command)
+
+
+class Child:
+    def __init__(self, command: tuple[str, ...]):
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True)
+        self.next = 0
+
+    @property
+    def alive(self) -> bool:
+        return self.process.poll() is None
+
+    def __call__(self, **params):
+        self.next += 1
+        request = {"jsonrpc": "2.0", "id": self.next, "method": "run", "params": params}
+        try:
+            self.process.stdin.write(json.dumps(request) + "\n")
+            self.process.stdin.flush()
+        except OSError as error:
+            raise ActionError(INTERRUPTED, "the process has ended") from error
+        for line in self.process.stdout:
+            answer = json.loads(line)
+            if answer.get("id") == self.next:
+                if "error" in answer:
+                    raise ActionError(int(answer["error"].get("code", INTERNAL_ERROR)), str(answer["error"].get("message")))
+                return answer.get("result")
+        self.process.wait()
+        raise ActionError(INTERRUPTED, "the process has ended")
+
+    def stop(self) -> None:
+        self.process.stdin.close()
+        try:
+            self.process.wait(10)
+        except subprocess.TimeoutExpired:
+            self.process.kill()
+
 
 def valid(params: Column, schema: dict) -> Column:
     """A JSON-schema subset on JSON text: type, required, properties.type, additionalProperties, enum, minimum, maximum."""

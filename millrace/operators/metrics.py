@@ -16,6 +16,14 @@ def per_second(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.groupBy(F.unix_seconds(F.col(ts)).alias("second")).agg(F.count("*").alias("n_events"))
 
 
+def per_second_filled(events: DataFrame, seconds: int = 3600, ts: str = "ts") -> DataFrame:
+    """Events of each of the last seconds up to the last event's, zero where there are none."""
+    counted = per_second(events, ts)
+    last = events.select(F.max(F.unix_seconds(F.col(ts))).alias("last")).where("last is not null")
+    slots = last.select(F.explode(F.sequence(F.col("last") - (seconds - 1), F.col("last"))).alias("second"))
+    return slots.join(counted, "second", "left").select("second", F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"))
+
+
 def load_averages(events: DataFrame, spans: tuple[int, ...] = (3600, 900, 60)) -> DataFrame:
     """At each second with events, events a second over the spans that end with it, rounded to two digits.
 

@@ -139,24 +139,43 @@ def sessions(events: DataFrame, types: set[str], key: str, gap: timedelta) -> Da
 def anchored(events: DataFrame, types: set[str], key: str, length: timedelta) -> DataFrame:
     """Windows that start with the first event after the last window's end, and take in what comes until then.
 
-    Greedy, so a fold in each key, but over times only; a key's times must fit in a task (8 bytes each).
+    Greedy, so a fold in each key, but over times only; a task streams through its keys and holds one batch.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     width = length // timedelta(microseconds=1)
 
-    def fold(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group["us"].to_numpy())
-        at, rows = 0, []
-        while at < len(t):
-            end = int(np.searchsorted(t, t[at] + width, "right"))
-            rows.append((k[0], t[at], end - at))
-            at = end
-        return pd.DataFrame(rows, columns=["key", "us", "n_events"])
-
-    read = events.where(of_types(types)).select(F.col(key).cast("long").alias("key"), F.unix_micros("ts").alias("us"))
-    made = read.groupBy("key").applyInPandas(fold, "key long, us long, n_events long")
+    def run(batches):
+        now, began, held = None, 0, 0
+        for batch in batches:
+            rows = []
+            keys, t = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                at = lo
+                if keys[lo] != now:
+                    if now is not None:
+                        rows.append((now, began, held))
+                    now, began, held = int(keys[lo]), int(t[lo]), 0
+                while True:
+                    end = at + int(np.searchsorted(t[at:hi], began + width, "right"))
+                    held += end - at
+                    if end == hi:
+                        break
+                    rows.append((now, began, held))
+                    at, began, held = end, int(t[end]), 0
+            yield made_of(rows)
+        if now is not None:
+            yield made_of([(now, began, held)])
+
+    def made_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["key", "us", "n_events"])
+
+    read = events.where(of_types(types) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.unix_micros("ts").alias("us"))
+    made = read.repartition("key").sortWithinPartitions("key", "us").mapInArrow(run, "key long, us long, n_events long")
     return made.select(F.col("key").alias(key), F.timestamp_micros("us").alias("first_ts"), "n_events")
 
 
@@ -170,8 +189,23 @@ def first_event_of(events: DataFrame, key: str | None, types: set[str] | None =
 
 
 def suppress(events: DataFrame, rules: list[tuple[str, Column, bool]]) -> DataFrame:
-    """(event, rule) for ordered rules (name, predicate, suppresses): a suppressing match keeps the event from later ones."""
+    """(event, rule) for ordered rules (name, predicate, suppresses): a suppressing match keeps the event from later ones.
+    Give rules of an event's type before those of any, as the exact engine takes them."""
     last = F.lit(len(rules))
     stop = F.least(*[F.when(p, F.lit(i)).otherwise(last) for i, (_, p, s) in enumerate(rules) if s], last, last)
     hits = F.array_compact(F.array(*[F.when(p & (stop >= i), F.lit(n)) for i, (n, p, _) in enumerate(rules)]))
     return events.withColumn("rule", F.explode(hits))
+
+
+def validate_enrich_filter(events: DataFrame, valid: Column, enrich, keep: Column) -> DataFrame:
+    """Events through three stages, as columns: all events with what ``enrich`` (a function of tables) adds, and ``passed``.
+
+    What isn't known to pass a stage is rejected. The original event goes on where it passes; ``unsuppressed`` takes those.
+    """
+    made = enrich(events.withColumn("passed", F.coalesce(valid, F.lit(False))))
+    return made.withColumn("passed", F.col("passed") & F.coalesce(keep, F.lit(False)))
+
+
+def unsuppressed(staged: DataFrame) -> DataFrame:
+    """What later rules see: a rejected event is suppressed."""
+    return staged.where("passed").drop("passed")

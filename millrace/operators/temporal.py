@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +78,28 @@ class Cron:
         return F.minute(at).isin(*self.minutes) & F.hour(at).isin(*self.hours) & F.month(at).isin(*self.months) & either
 
     def hit(self, at: datetime) -> bool:
+        return at.minute in self.minutes and at.hour in self.hours and self._day(at)
+
+    def next_after(self, after: datetime, zone: str = "UTC") -> datetime | None:
+        """The first tick strictly after a UTC time, in UTC; None where there is none within nine years."""
+        there = ZoneInfo(zone)
+        local = after.replace(tzinfo=UTC).astimezone(there).replace(tzinfo=None)
+        day, least = local.replace(hour=0, minute=0, second=0, microsecond=0), after
+        for _ in range(9 * 366):
+            if self._day(day):
+                for hour in sorted(self.hours):
+                    for minute in sorted(self.minutes):
+                        at = day.replace(hour=hour, minute=minute)
+                        if at >= local - timedelta(hours=3):
+                            at = at.replace(tzinfo=there).astimezone(UTC).replace(tzinfo=None)
+                            if at > least:
+                                return at
+            day += timedelta(days=1)
+        return None
+
+    def _day(self, at: datetime) -> bool:
         day, weekday = at.day in self.days, at.isoweekday() % 7 in self.weekdays
-        either = day and weekday if self.any_day or self.any_weekday else day or weekday
-        return at.minute in self.minutes and at.hour in self.hours and at.month in self.months and either
+        return at.month in self.months and (day and weekday if self.any_day or self.any_weekday else day or weekday)
 
 
 def cron_ticks(bounds: DataFrame, schedule: str, zone: str = "UTC") -> DataFrame:

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from millrace import functions as fn
 from millrace import streaming
 from millrace.operators import actions, exact, memory, metrics, patterns, temporal
-from millrace.operators.rule import Rule
-from millrace.sources import load_events, resume
-from millrace.streaming.once import available, events_stream
+from millrace.operators.fold import Action, Event, MemoryWrite
+from millrace.operators.rule import Rule, on_schedule
+from millrace.operators.rule import validate_enrich_filter as validate_enrich_filter_rule
+from millrace.runtime import Runtime
+from millrace.sources import SourceRegistry, load_events, resume
+from millrace.state import Store
+from millrace.streaming.once import available, events_stream, folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,13 +223,106 @@ def exact_pairs(spark, sf_dir):
     return exact.run(load_events(spark, sf_dir), [rule], "user_id").where("phase = 'complete'").select("first_id", "last_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE event_type IN ('signup', 'purchase')), z AS (SELECT max(ts) - INTERVAL 1 MILLISECOND AS clock FROM events),
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS open_id, NULL::TIMESTAMP AS due, NULL::VARCHAR AS phase, NULL::BIGINT AS first_id, NULL::BIGINT AS last_id, NULL::TIMESTAMP AS ended FROM e
+  UNION ALL SELECT e.user_id, e.n,
+    CASE WHEN e.event_type = 'signup' AND NOT coalesce(e.ts <= w.due, false) THEN e.event_id END,
+    CASE WHEN e.event_type = 'signup' AND NOT coalesce(e.ts <= w.due, false) THEN e.ts + INTERVAL 6 HOUR END,
+    CASE WHEN w.due IS NULL THEN NULL WHEN e.ts <= w.due THEN 'complete' ELSE 'timeout' END, w.open_id,
+    CASE WHEN e.ts <= w.due THEN e.event_id ELSE w.open_id END,
+    CASE WHEN e.ts > w.due AND w.due <= e.ts - INTERVAL 1 MILLISECOND THEN w.due ELSE e.ts END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1),
+o AS (SELECT phase, first_id, last_id, ended FROM w WHERE phase IS NOT NULL
+  UNION ALL SELECT 'timeout', open_id, open_id, due FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM w), z WHERE back = 1 AND due <= clock)
+SELECT 'overlap' AS rule, phase, CASE phase WHEN 'complete' THEN 2 ELSE 1 END::BIGINT AS n_events, first_id, last_id, ended AS "at" FROM o""")
 def exact_overlapping(spark, sf_dir):
     """A first step whose type comes again in the second: only the engine gives this one."""
     rule = Rule("overlap", (("signup",), ("purchase", "signup")), 6 * HOUR, ("user_id",))
     return exact.run(load_events(spark, sf_dir), [rule], "user_id").withColumns(ntz("at"))
 
 
+def _no_purchase(instance):
+    first = instance.chain[0]
+    return Event("no_purchase", instance.timeout, first.id, {"user_id": first.get("user_id")})
+
+
+def _mail(instance):
+    return [Action("mail", {"user": instance.chain[0].get("user_id")}), MemoryWrite("nudged", str(instance.chain[0].get("user_id")), True, 3600)]
+
+
+LATE_IDS = f"{TWO}, d AS (SELECT event_id, user_id FROM a WHERE (nts IS NULL OR nts > deadline) AND clock >= deadline)"
+
+
+@query(f"""{LATE_IDS} SELECT kind, rule, name, count(*) AS n FROM d, (VALUES ('event', 'welcome', 'no_purchase'), ('action', 'nudge', 'mail'), ('memory', 'nudge', 'nudged')) v(kind, rule, name) GROUP BY ALL""")
+def runtime_chaining(spark, sf_dir):
+    """A rule's timeout emits an event that comes back in, where another rule emits an action and a write to the memory."""
+    rules = [
+        Rule("welcome", SIGNUP_BUY.steps, 6 * HOUR, ("user_id",), callbacks={"timeout": _no_purchase}),
+        Rule("nudge", (("no_purchase",),), mode="single", callbacks={"complete": _mail}),
+    ]
+    made = exact.emits(load_events(spark, sf_dir), rules, "user_id")
+    named = made.withColumn("name", F.coalesce(F.when(F.col("kind") == "memory", F.get_json_object("payload", "$.ns")), "name"))
+    return named.groupBy("kind", "rule", "name").agg(F.count("*").alias("n"))
+
+
+@query(f"{LATE_IDS} SELECT 'mail' AS cmd, user_id, count(*) AS n FROM d GROUP BY ALL")
+def emitted_actions(spark, sf_dir):
+    """Actions that rules emit, dispatched by the registry."""
+    rules = [
+        Rule("welcome", SIGNUP_BUY.steps, 6 * HOUR, ("user_id",), callbacks={"timeout": _no_purchase}),
+        Rule("nudge", (("no_purchase",),), mode="single", callbacks={"complete": _mail}),
+    ]
+    runtime = Runtime(spark, rules)
+    runtime.actions.register("mail", schema={"type": "object", "properties": {"user": {"type": "integer"}}, "required": ["user"]})
+    ready = runtime.run_emits(load_events(spark, sf_dir), "user_id")["actions"].where("status = 'ready'")
+    return ready.groupBy("cmd", F.get_json_object("vars", "$.user").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{TWO}, c AS (SELECT * FROM a WHERE nts <= deadline)
+SELECT 'seen' AS group_name, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY event_type
+UNION ALL SELECT 'init_matcher', 'welcome', count(*) FROM a UNION ALL SELECT 'handled', 'signup|welcome', count(*) FROM a
+UNION ALL SELECT 'handled', 'purchase|welcome', count(*) FROM c UNION ALL SELECT 'completed_matcher', 'welcome', count(*) FROM c
+UNION ALL SELECT 'unhandled', 'purchase', (SELECT count(*) FROM events WHERE event_type = 'purchase') - (SELECT count(DISTINCT nid) FROM c)
+UNION ALL SELECT 'timeouts', 'welcome', count(*) FROM a WHERE (nts IS NULL OR nts > deadline) AND clock >= deadline""")
+def engine_stats(spark, sf_dir):
+    """The engine's counters; timeouts by the clock and by a late event are taken together."""
+    made = exact.stats(load_events(spark, sf_dir), [SIGNUP_BUY], "user_id")
+    group = F.when(F.col("group_name").endswith("matcher_timeout"), "timeouts").otherwise(F.col("group_name")).alias("group_name")
+    return made.groupBy(group, "name").agg(F.sum("n").alias("n"))
+
+
+def _big(event):
+    return event if event.get("value") is not None and event.get("value") >= 5 else None
+
+
+def _banded(event):
+    event.data["band"] = int(event.get("value") // 50)
+    return event
+
+
+def _not_top(event):
+    return event if event.get("band") < 3 else None
+
+
+@query("""WITH e AS (SELECT coalesce(value >= 5 AND floor(value / 50) < 3, false) AS ok FROM events)
+SELECT 'check' AS rule, CASE WHEN ok THEN 'passed' ELSE 'failed' END AS phase, count(*) AS n FROM e GROUP BY ALL
+UNION ALL SELECT 'any', 'complete', count(*) FROM e WHERE ok""")
+def vef_rule(spark, sf_dir):
+    """Validate, enrich and filter as a rule: a rejected event is suppressed, so the later rule doesn't see it."""
+    check = validate_enrich_filter_rule("check", ("*",), _big, _banded, _not_top)
+    rules = [check, Rule("any", (("*",),), mode="single")]
+    made = exact.run(load_events(spark, sf_dir), rules, "user_id", ("passed", "failed", "complete"))
+    return made.groupBy("rule", "phase").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'typed' AS rule, count(*) AS n FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'wild', count(*) FROM events""")
+def typed_before_wildcard(spark, sf_dir):
+    """A wildcard rule that suppresses, registered first, doesn't keep an event from a rule of its type."""
+    rules = [Rule("wild", (("*",),), mode="single", suppress=True), Rule("typed", (("purchase",),), mode="single")]
+    return exact.run(load_events(spark, sf_dir), rules, "user_id").groupBy("rule").agg(F.count("*").alias("n"))
+
+
 # --- validate, enrich, filter; suppression; chaining --------------------------------------------------------------------
 
 PASSED = """WITH e AS (SELECT e.*, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, c.c_mktsegment
@@ -233,10 +330,19 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey)"""
 
 
 def _enriched(spark, sf_dir):
-    e = load_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
     segment = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    e = e.join(segment, e["user_id"] == segment["c_custkey"], "left")  # Spark broadcasts it where its size allows
-    return e.withColumn("passed", F.coalesce((F.col("k") >= 10) & F.col("c_mktsegment").isNotNull() & (F.col("value") > 20), F.lit(False)))
+
+    def enrich(e):
+        return e.join(segment, e["user_id"] == segment["c_custkey"], "left")  # Spark broadcasts it where its size allows
+
+    e = load_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
+    return patterns.validate_enrich_filter(e, F.col("k") >= 10, enrich, F.col("c_mktsegment").isNotNull() & (F.col("value") > 20))
+
+
+@query(f"{PASSED} SELECT event_type, count(*) AS n FROM e WHERE k >= 10 AND c_mktsegment IS NOT NULL AND value > 20 GROUP BY event_type")
+def vef_suppresses(spark, sf_dir):
+    """What rules after the three stages see."""
+    return patterns.unsuppressed(_enriched(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query(f"{PASSED} SELECT event_id, k, c_mktsegment FROM e WHERE k >= 10 AND c_mktsegment IS NOT NULL AND value > 20")
@@ -362,6 +468,13 @@ def eps_per_second(spark, sf_dir):
     return metrics.per_second(load_events(spark, sf_dir))
 
 
+@query("""WITH c AS (SELECT epoch(date_trunc('second', ts))::BIGINT AS second, count(*) AS n FROM events GROUP BY ALL),
+z AS (SELECT epoch(date_trunc('second', max(ts)))::BIGINT AS last FROM events), s AS (SELECT unnest(range(last - 3599, last + 1)) AS second FROM z)
+SELECT s.second, coalesce(c.n, 0)::BIGINT AS n_events FROM s LEFT JOIN c ON s.second = c.second""")
+def eps_last_hour(spark, sf_dir):
+    return metrics.per_second_filled(load_events(spark, sf_dir))
+
+
 @query("""WITH s AS (SELECT epoch(date_trunc('second', ts))::BIGINT AS second, count(*) AS n FROM events GROUP BY ALL)
 SELECT second, round(sum(n) OVER (ORDER BY second RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) / 3600, 2) AS load_3600,
 round(sum(n) OVER (ORDER BY second RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) / 900, 2) AS load_900,
@@ -407,6 +520,13 @@ def cron_hourly(spark, sf_dir):
     return ticks.join(counts, "tick", "left").select(F.col("tick").cast("timestamp_ntz").alias("tick"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
+@query(f"""{RANGE} SELECT 'hourly' AS rule, t AS at FROM m WHERE minute(t) = 0 AND t > a AND t <= z
+UNION ALL SELECT 'noon', t FROM m WHERE minute(t) = 0 AND hour(t) = 12 AND t > a AND t <= z""")
+def schedule_rules(spark, sf_dir):
+    rules = [on_schedule("hourly", str, "@hourly"), on_schedule("noon", str, "0 12 * * *")]
+    return Runtime(spark, rules).ticks(load_events(spark, sf_dir)).withColumns(ntz("at"))
+
+
 @query(f"""{RANGE} SELECT t AS tick FROM m WHERE t > a AND t <= z
 AND strftime(timezone('Australia/Sydney', timezone('UTC', t)), '%H:%M') = '09:30' AND dayofweek(timezone('Australia/Sydney', timezone('UTC', t))) BETWEEN 1 AND 5""")
 def cron_weekday_0930_tz(spark, sf_dir):
@@ -450,6 +570,10 @@ def _registry():
 CODES = "CASE WHEN event_type NOT IN ('purchase', 'click') THEN -1 WHEN event_type = 'purchase' AND NOT (try_cast(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 0 AND 79) THEN -32602 END"
 
 
+def _done(**_):
+    return None
+
+
 def _dispatched(spark, sf_dir):
     return _registry().dispatch(load_events(spark, sf_dir).select("event_id", F.col("event_type").alias("cmd"), F.col("props").alias("vars")))
 
@@ -478,9 +602,26 @@ def action_retry_set(spark, sf_dir):
     return actions.to_retry(rows).select("event_id", "code")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 5000")
+@query("SELECT event_id, event_type FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)")
 def checkpoint_resume(spark, sf_dir):
-    return resume(load_events(spark, sf_dir), 5000).select("event_id", "event_type")
+    """A source goes on after the checkpoint that an earlier registry has saved."""
+    e, store = load_events(spark, sf_dir), Store(spark, folder(spark, "checkpoints"))
+    SourceRegistry(store).checkpoint("events", e.agg(F.expr("max(event_id) div 2")).first()[0])
+    later = SourceRegistry(store)
+    later.register("events", lambda spark, env, after: resume(e, after))
+    return later.run(spark, "events").select("event_id", "event_type")
+
+
+@query(f"SELECT event_type AS cmd, CASE WHEN {CODES} IS NULL THEN 'completed' ELSE 'errored' END AS status, {CODES} AS code, count(*) AS n FROM events GROUP BY ALL")
+def action_sink(spark, sf_dir):
+    """Actions run from a batch, each with its outcome in the status table."""
+    registry = _registry()
+    for name in ("purchase", "click"):
+        registry.register(name, _done, registry.actions[name].schema)
+    to = folder(spark, "status")
+    registry.sink(to)(load_events(spark, sf_dir).select(F.col("event_type").alias("cmd"), F.col("props").alias("vars")), 0)
+    schema = "cmd string, vars string, status string, code int, message string, batch int"
+    return spark.read.schema(schema).parquet(to).groupBy("cmd", "status", "code").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey, o_orderdate FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import os
-import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from millrace.functions import event_time
+from millrace.state import Store
+
+log = logging.getLogger(__name__)
 
 ENVELOPE = "event string, datetime timestamp, received_time timestamp, id string, payload string"
 METHODS = ("handle", "checkpoint", "log")
@@ -69,11 +74,28 @@ def parse_rpc(lines: DataFrame, column: str = "value") -> dict[str, DataFrame]:
 
 
 def generate(spark: SparkSession, rows: Iterator[dict] | list[dict], schema: str, delay: float = 0) -> DataFrame:
-    """A bounded generator as a table; its rows come with seq. A delay spaces their time when streamed."""
+    """A bounded generator as a table; its rows come with seq, and with after_s, the seconds after the first that a delay
+    puts them at."""
     if delay < 0:
         raise ValueError("a delay must not be negative")
-    made = [{**row, "seq": i} for i, row in enumerate(rows)]
-    return spark.createDataFrame(made, f"{schema}, seq long")
+    made = [{**row, "seq": i, "after_s": i * float(delay)} for i, row in enumerate(rows)]
+    return spark.createDataFrame(made, f"{schema}, seq long, after_s double")
+
+
+def inflated(rows: DataFrame, column: str = "value") -> DataFrame:
+    """(value): text of messages in raw deflate, one message a row; null where it is none."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for raw in batch.column(0).to_pylist():
+                try:
+                    made.append(zlib.decompressobj(-15).decompress(raw).decode() if raw is not None else None)
+                except (zlib.error, UnicodeDecodeError):
+                    made.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+
+    return rows.select(column).mapInArrow(run, "value string")
 
 
 class CounterSource(DataSource):
@@ -134,9 +156,19 @@ class Source:
 class SourceRegistry:
     """Named sources: functions of (spark, env, checkpoint) that return tables."""
 
-    def __init__(self):
+    def __init__(self, store: Store | None = None):
+        """With a store, checkpoints outlive the driver."""
         self.sources: dict[str, Source] = {}
-        self.checkpoints: dict[str, object] = {}
+        self.store, self.failed = store, {}
+        self.checkpoints: dict[str, object] = (store.load() if store else None) or {}
+        self.paused: set[str] = set()
+
+    def pause(self, *names: str) -> None:
+        """Leave sources (all without names) out of starts until they are resumed."""
+        self.paused |= set(names or self.sources)
+
+    def resume(self, *names: str) -> None:
+        self.paused -= set(names or self.sources)
 
     def register(self, name: str, read: Callable[..., DataFrame], env: dict | None = None, essential: bool = False, autostart: bool = True) -> None:
         self.sources[name] = Source(read, dict(env or {}), essential, autostart)
@@ -146,6 +178,8 @@ class SourceRegistry:
 
     def checkpoint(self, name: str, value) -> None:
         self.checkpoints[name] = value
+        if self.store:
+            self.store.save(self.checkpoints)
 
     def run(self, spark: SparkSession, name: str, variables: dict | None = None) -> DataFrame:
         """Run one source on demand; its own settings win over the variables of the run."""
@@ -155,16 +189,19 @@ class SourceRegistry:
         return source.read(spark, {**(variables or {}), **source.env}, self.checkpoints.get(name))
 
     def start_all(self, spark: SparkSession) -> DataFrame | None:
-        """All autostart sources together. An essential source's error stops the start, another's is left out."""
-        started = None
+        """All autostart sources together. An essential source's error stops the start, another's is logged, kept in
+        ``failed`` and left out."""
+        started, self.failed = None, {}
         for name, source in self.sources.items():
-            if not source.autostart:
+            if not source.autostart or name in self.paused:
                 continue
             try:
                 made = self.run(spark, name)
-            except Exception:
+            except Exception as error:
                 if source.essential:
                     raise
+                log.exception("source %s failed", name)
+                self.failed[name] = error
                 continue
             started = made if started is None else started.unionByName(made, allowMissingColumns=True)
         return started
@@ -180,9 +217,3 @@ def env(name: str, default: str | None = None) -> str:
     if value is None:
         raise KeyError(f"{name} is not set")
     return value
-
-
-def paced(rows: Iterator, delay: float) -> Iterator:
-    for row in rows:
-        yield row
-        time.sleep(delay)

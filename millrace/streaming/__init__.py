@@ -33,7 +33,7 @@ def restore(saved: bytes, rules: list[Rule]) -> Engine:
     rows, engine.clock, engine.stats = pickle.loads(saved)
     for name, chain, *rest in rows:
         if name in by_name:
-            engine.waiting.append(Instance(by_name[name], [Event(*e) for e in chain], *rest))
+            engine.wait(Instance(by_name[name], [Event(*e) for e in chain], *rest))
     return engine
 
 
@@ -58,7 +58,7 @@ def run(events: DataFrame, rules: list[Rule], key: str, delay: str = "0 seconds"
         rows = outcome_rows(engine, phases)
         if engine.waiting:
             state.update((save(engine),))
-            due = min((i.timeout for i in engine.waiting if i.timeout), default=None)
+            due = engine.next_timeout()
             if due is not None:
                 state.setTimeoutTimestamp(max(int(pd.Timestamp(due).value // 1_000_000) + 1, mark + 1))
         elif state.exists:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; where that is unset, under the warehouse, which must then be a shared folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

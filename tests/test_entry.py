@@ -2,6 +2,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -15,12 +17,13 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_imports_without_a_session_and_without_the_optional_part(tmp_path):
+@pytest.mark.parametrize("gone", [("millrace.llm", "corpus_pipeline"), ("public_tokenizers",)])
+def test_imports_without_a_session_and_without_the_optional_part(gone):
     code = (
         "import sys, importlib.abc\n"
         "class Gone(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path, target=None):\n"
-        "        if name in ('millrace.llm', 'corpus_pipeline'):\n"
+        f"        if name in {gone}:\n"
         "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
