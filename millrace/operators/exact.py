@@ -59,7 +59,7 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
     return made.astype({"n_events": "int64", "first_id": "int64", "last_id": "int64"})
 
 
-def folded(events: DataFrame, rules: list[Rule], key: str, schema: str, rows_of: Callable[[Engine], list[tuple]], flush: bool = True) -> DataFrame:
+def folded(events: DataFrame, rules: list[Rule], key: str, schema: str, rows_of: Callable[[Engine], list[tuple]], flush: bool = True, event_action: str | None = None) -> DataFrame:
     """What ``rows_of`` takes from the engine of each key, after each of its events and at its end."""
     types = set().union(*[r.types for r in rules])
     columns = ["event_id", "ts", "event_type", "value", *[c for r in rules for c in r.keys], key]
@@ -89,7 +89,7 @@ def folded(events: DataFrame, rules: list[Rule], key: str, schema: str, rows_of:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if engine is None or row[at_key] != now:
                     finish()
-                    engine, now = Engine(rules), row[at_key]
+                    engine, now = Engine(rules, event_action=event_action), row[at_key]
                     end = row[-1].replace(tzinfo=None) if row[-1] else None
                 engine.handle(Event(row[2], row[1].replace(tzinfo=None), row[0], dict(zip(columns, row, strict=False))))
                 if len(engine.out) + len(engine.emitted) > 256:
@@ -120,15 +120,15 @@ def run(
     return folded(events, rules, key, OUTCOME, rows_of, flush)
 
 
-def emits(events: DataFrame, rules: list[Rule], key: str, flush: bool = True) -> DataFrame:
+def emits(events: DataFrame, rules: list[Rule], key: str, flush: bool = True, event_action: str | None = None) -> DataFrame:
     """What the callbacks of the rules emit: (kind, rule, name, at, payload as JSON). Emitted events go through the rules of
-    the same key, too."""
+    the same key, too, or to the action named."""
 
     def rows_of(engine: Engine) -> list[tuple]:
         engine.take()
         return emitted_rows(engine)
 
-    return folded(events, rules, key, EMITTED, rows_of, flush)
+    return folded(events, rules, key, EMITTED, rows_of, flush, event_action)
 
 
 def stats(events: DataFrame, rules: list[Rule], key: str) -> DataFrame:

@@ -167,10 +167,10 @@ class Instance:
 class Engine:
     """Feeds events to rules. Outcomes are (rule, phase, instance, time); phases are progress, complete, timeout, passed,
     failed and schedule. ``emitted`` has (kind, object, rule, time), kind being event, action, source, memory or one of
-    add_emit."""
+    add_emit. With ``event_action``, emitted events are given to the action of that name and don't come back in."""
 
-    def __init__(self, rules: list[Rule], live: bool = False):
-        self.rules, self.live = list(rules), live
+    def __init__(self, rules: list[Rule], live: bool = False, event_action: str | None = None):
+        self.rules, self.live, self.event_action = list(rules), live, event_action
         self.clock = datetime(1970, 1, 1)
         self.stats: dict[tuple[str, str], int] = {}
         self.out: list[tuple[str, str, Instance, datetime]] = []
@@ -240,7 +240,9 @@ class Engine:
                 raise TypeError(f"{rule} emits {one!r}, which is of no kind that is known")
             self._count(f"emit_{kind}", getattr(one, "event", None) or getattr(one, "cmd", None) or type(one).__name__)
             self.emitted.append((kind, one, rule, at))
-            if kind == "event":
+            if kind == "event" and self.event_action:
+                self.emitted.append(("action", Action(self.event_action, vars(one)), rule, at))
+            elif kind == "event":
                 self._again.append(one)
             elif kind == "memory":
                 self.memory.write(one, at)

@@ -51,6 +51,8 @@ class Runtime:
         self.spark, self.rules, self.checkpoint = spark, RuleSet(list(rules)), checkpoint
         self.sources, self.actions, self.queries = SourceRegistry(), Registry(), {}
         self.state, self.seed, self.metrics = State.STARTING, None, Metrics()
+        #: Action that emitted events are given to, instead of coming back in.
+        self.event_action: str | None = None
 
     def move(self, to: State) -> None:
         if to not in NEXT[self.state]:
@@ -87,7 +89,7 @@ class Runtime:
     def run_emits(self, events: DataFrame, key: str) -> dict[str, DataFrame]:
         """What the rules emit over a table, by kind: events (which have gone through the rules of their key, too), actions
         with cmd and vars for the registry, source runs, writes to the memory, and kinds of one's own."""
-        made = exact.emits(events, [r for r in self.rules.rules if r.mode != "schedule"], key)
+        made = exact.emits(events, [r for r in self.rules.rules if r.mode != "schedule"], key, event_action=self.event_action)
         actions = made.where("kind = 'action'").select(F.col("name").alias("cmd"), F.get_json_object("payload", "$.vars").alias("vars"), "rule", "at")
         return {"all": made, "actions": self.actions.dispatch(actions), **{k: made.where(F.col("kind") == k) for k in ("event", "source", "memory")}}
 
@@ -122,9 +124,10 @@ class Runtime:
         self.metrics.values |= saved["metrics"]
         return [n for n in saved["rules"] if all(r.name != n for r in self.rules.rules)]
 
-    def run_stream(self, events: DataFrame, key: str, sink, name: str = "rules", delay: str = "0 seconds", once: bool = False) -> StreamingQuery:
-        """Outcomes to ``sink(batch, batch_id)``. State and offsets are in the checkpoint folder."""
-        made = streaming.run(events, self.rules.rules, key, delay)
+    def run_stream(self, events: DataFrame, key: str, sink, name: str = "rules", delay: str | None = "0 seconds", once: bool = False) -> StreamingQuery:
+        """Outcomes to ``sink(batch, batch_id)``. State and offsets are in the checkpoint folder. Without a delay, late events
+        are taken, too."""
+        made = streaming.run(events, self.rules.rules, key, delay, timers=not once)
         writer = made.writeStream.foreachBatch(sink).queryName(name).outputMode("append")
         if self.checkpoint:
             writer = writer.option("checkpointLocation", f"{self.checkpoint}/{name}")
@@ -149,10 +152,17 @@ class Runtime:
             "metrics": self.metrics.snapshot(),
         }
 
-    def stop(self) -> None:
+    def stop(self, store: Store | None = None) -> None:
+        """First the streams, whose actions run in their batches, then the last state. What fails makes the end unclean."""
         self.move(State.STOPPING)
-        for query in self.queries.values():
-            query.stop()
+        try:
+            for query in self.queries.values():
+                query.stop()
+            if store:
+                self.save_state(store)
+        except Exception:
+            self.move(State.UNCLEAN)
+            raise
         self.move(State.STOPPED)
 
 

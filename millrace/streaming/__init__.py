@@ -37,13 +37,18 @@ def restore(saved: bytes, rules: list[Rule]) -> Engine:
     return engine
 
 
-def run(events: DataFrame, rules: list[Rule], key: str, delay: str = "0 seconds", phases: tuple[str, ...] = ("complete", "timeout")) -> DataFrame:
+def run(events: DataFrame, rules: list[Rule], key: str, delay: str | None = "0 seconds", phases: tuple[str, ...] = ("complete", "timeout"), timers: bool = True) -> DataFrame:
     """Outcomes of a stream (event_id, ts, event_type, value, key). Each batch's events of a key are put in order, timeouts
-    are expired before each event, and what is left fires when the watermark passes it."""
+    are expired before each event, and what is left fires when the watermark passes it.
+
+    With a delay of None there is no watermark: no event is dropped however late it comes, and a timeout fires when a later
+    event of its key, or with timers the clock of the machine, has passed it. With such timers a query doesn't end by itself."""
     types = set().union(*[r.types for r in rules])
-    read = events.select("event_id", "ts", "event_type", "value", key).withWatermark("ts", delay)
+    read = events.select("event_id", "ts", "event_type", "value", key)
+    read = read if delay is None else read.withWatermark("ts", delay)
     if ANY not in types:
-        read = read.where(F.col("event_type").isin(sorted(types)))
+        # The second term never holds. It keeps the filter above the watermark, which events of all types move.
+        read = read.where(F.col("event_type").isin(sorted(types)) | (F.col("ts") < F.lit("0001-01-01").cast("timestamp")))
     tick = timedelta(milliseconds=1)
 
     def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,20 +57,24 @@ def run(events: DataFrame, rules: list[Rule], key: str, delay: str = "0 seconds"
         if groups:
             for row in pd.concat(groups).sort_values(["ts", "event_id"], kind="stable").itertuples(index=False):
                 engine.handle(event_of(row))
-        mark = state.getCurrentWatermarkMs()
-        if mark > 0:
+        mark = state.getCurrentProcessingTimeMs() if delay is None else state.getCurrentWatermarkMs()
+        if mark > 0 and (delay is not None or state.hasTimedOut):
             engine.advance(pd.Timestamp(mark, unit="ms").to_pydatetime() - tick)
         rows = outcome_rows(engine, phases)
         if engine.waiting:
             state.update((save(engine),))
             due = engine.next_timeout()
-            if due is not None:
+            if due is not None and delay is None and timers:
+                state.setTimeoutDuration(max(1, int(pd.Timestamp(due).value // 1_000_000) + 1 - mark))
+            elif due is not None and delay is not None:
                 state.setTimeoutTimestamp(max(int(pd.Timestamp(due).value // 1_000_000) + 1, mark + 1))
         elif state.exists:
             state.remove()
         yield frame(rows)
 
-    return read.groupBy(key).applyInPandasWithState(step, OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    live = GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout
+    timeout = live if delay is None else GroupStateTimeout.EventTimeTimeout
+    return read.groupBy(key).applyInPandasWithState(step, OUTCOME, STATE, "append", timeout)
 
 
 def counts(events: DataFrame, window: str = "1 second", delay: str = "0 seconds") -> DataFrame:
