@@ -1,9 +1,14 @@
-"""Near-copies by the Jaccard similarity of word shingles, found by an exact prefix filter.
+"""Near-copies by SimHash, verified by the Jaccard similarity of word shingles; an exact prefix filter for the rest.
+
+Each distinct set of shingles has the fingerprint of op7 of a text that has it. Fingerprints that meet by ball hashing
+(simhash.meetings: all within 5 bits, and more) are verified on the whole sets, and components taken of the links. Texts of
+the similarity asked for lie up to 11 bits and more apart, so what the balls don't reach is found from what they leave in
+different components:
 
 Two sets of a similarity of at least SIMILAR have a member in common among the first fifth of each, whatever one order all
 members are in. Every distinct set therefore emits that prefix; sets that meet at a member, and whose sizes and places
 there allow the similarity, are verified on the whole sets. No group is capped: first all that meet at a member are
-verified against one of them, then all pairs that this leaves in different components.
+verified against one of them, then all pairs that this leaves in different components. So no similar pair is lost.
 
 The order puts the members that a sample finds common last, so that they rarely stand in a prefix. It has no part in what
 is found, only in how many pairs are verified.
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, flagged, forget, map_texts, marked, one_row_each
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_batch, meetings, shingle_hashes
 from .substring import lists
 
 SHINGLE_WORDS = 5
@@ -72,12 +77,13 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, key, n, prefix): the key and size of each document's set, and its first members in the common order."""
+    """(doc_id, mark, key, fp, n, prefix): of each document the key and size of its set, its fingerprint as a signed long, and
+    the set's first members in the common order."""
     late = common_shingles(docs)
 
     def make():
         def call(keys: list, texts: list, marks: list) -> dict:
-            out: dict = {"doc_id": keys, "mark": marks, "key": [], "n": []}
+            out: dict = {"doc_id": keys, "mark": marks, "key": [], "fp": fingerprint_batch(texts).view(np.int64), "n": []}
             firsts = []
             sets = [shingle_set(text) for text in texts]
             commons = is_among(np.concatenate(sets), late)
@@ -90,7 +96,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         return call
 
-    return map_texts(marked(docs), make, "doc_id long, mark long, key long, n long, prefix array<long>", more=("mark",))
+    return map_texts(marked(docs), make, "doc_id long, mark long, key long, fp long, n long, prefix array<long>", more=("mark",))
 
 
 def possible(a: str, b: str):
@@ -128,23 +134,33 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def still_open(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The posts at members where several components of the links meet, each with the root of its own."""
+    posts = posts.select("h", "key", "n", "at")
+    named = posts.join(components(found).withColumnRenamed("node", "key"), "key", "left")
+    named = named.select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+    named = durable(named, "named")
+    mixed = named.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    left = durable(named.join(mixed.select("h"), "h"), "open")
+    forget(named)
+    return left
+
+
 def links(docs: DataFrame, made: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): verified links between distinct sets that connect all that are similar."""
+    balls = durable(meetings(nodes), "balls")
+    found = verified(balls, docs, nodes)
+    # What meets at a member and is of one component already needs no link of its own.
     posts = made.join(nodes.select("row"), "row").select("key", "n", F.posexplode("prefix").alias("at", "h"))
     posts = posts.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1").drop("many")
-    posts = durable(posts, "posts")
+    posts = still_open(posts, found)
     # Where a member comes earliest, least of the set is its own: of a text and its edited copies, that is the text.
-    first = posts.groupBy("h").agg(F.min(F.struct("at", "key", "n")).alias("first")).select("h", "first.*")
-    met = posts.alias("a").join(first.alias("b"), "h").where("a.key != b.key").where(possible("a", "b"))
-    tried = durable(met.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct(), "tried")
-    found = verified(tried, docs, nodes)
-    # What meets at a member and is of one component already needs no link of its own.
-    roots = components(found)
-    named = posts.join(roots, posts["key"] == roots["node"], "left").select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-    named = durable(named, "named")
-    mixed = named.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-    open_posts = durable(named.join(mixed.select("h"), "h"), "open")
-    forget(named)
+    first = posts.groupBy("h").agg(F.min(F.struct("at", "key", "n", "root")).alias("first")).select("h", "first.*")
+    met = posts.alias("a").join(first.alias("b"), "h").where("a.root != b.root").where(possible("a", "b"))
+    tried = met.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+    tried = durable(tried, "tried")
+    found = found.unionByName(verified(tried, docs, nodes))
+    open_posts = still_open(posts, found)
     met = open_posts.alias("a").join(open_posts.alias("b"), "h").where("a.key > b.key and a.root != b.root")
     # All that two prefixes have in common is met here: a later common member lies beyond one of the prefixes.
     last = [F.max(f"{x}.at").alias(f"{x}_at") for x in "ab"]
@@ -156,7 +172,7 @@ def links(docs: DataFrame, made: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = pairs.where((low + high) * (F.col("same") + after) >= low * (F.col("a_n") + F.col("b_n"))).select("u", "v")
     rest = durable(rest.join(tried, ["u", "v"], "left_anti"), "rest")
     found = found.unionByName(verified(rest, docs, nodes))
-    for done in (posts, open_posts, tried, rest):
+    for done in (balls, posts, open_posts, tried, rest):
         forget(done)
     return found
 
@@ -164,7 +180,7 @@ def links(docs: DataFrame, made: DataFrame, nodes: DataFrame) -> DataFrame:
 def rooted(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, node, root) of every row: the key of its set and the one that its component is named by."""
     made = durable(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "copies")
-    one = F.min(F.struct("row", "doc_id", "mark")).alias("one")
+    one = F.min(F.struct("row", "doc_id", "mark", "fp")).alias("one")
     nodes = durable(made.groupBy("key").agg(one).select("key", "one.*"), "nodes")
     roots = components(links(docs, made, nodes))
     named = made.select("doc_id", "mark", F.col("key").alias("node")).join(roots, "node", "left")

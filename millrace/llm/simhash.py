@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most 2 bits have a common neighbour within 1 bit of both. Every distinct fingerprint
 therefore emits itself and its 64 one-bit variants, the variants are shuffled, and fingerprints that meet at one are
 deduplicated and verified. At most 65 fingerprints can meet at a variant, whatever the data, so no group grows with the
-input; exact copies share a fingerprint and are one node.
+input; exact copies share a fingerprint and are one node. ``meetings`` hashes balls around both halves of a fingerprint for
+links that are wider and verified elsewhere (copies).
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other; fewer than three words make
 one shingle of the whole sequence; repeated rows and equal doc_ids each keep their row; an empty table gives no rows.
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, marked, one_row_each
+from .common import durable, map_texts, marked, may_have, one_row_each
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -103,6 +104,24 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
 
 
+def meetings(prints: DataFrame) -> DataFrame:
+    """(u, v): pairs of keys of (key, fp), fp not null, to be verified: those that meet at a variant, with the least of them.
+
+    Variants are those within 1 bit of either half, so every two fingerprints within 2 * MAX_BITS + 1 bits meet. Any number
+    can meet at one (the other half is free): hence the least key stands for them, and a pair that it parts isn't among the
+    result.
+    """
+    low = F.lit((1 << 32) - 1)
+    masks = F.array(*[F.lit(1 << b).cast("long") for b in range(32)])
+    halves = F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
+    variants = F.concat(F.array("half"), F.transform(masks, lambda m: F.col("half").bitwiseXOR(m)))
+    dealt = prints.select("key", "fp").repartition(max(1, -(-prints.count() // NODES_OF_TASK)))  # as in links
+    posts = dealt.select("key", F.explode(halves).alias("half")).select("key", F.explode(variants).alias("variant"))
+    ends = posts.groupBy("variant").agg(F.min("key").alias("v"), F.max("key").alias("most"))
+    shared = durable(ends.where("v != most").select("variant", "v"), "shared")
+    return may_have(posts, shared, "variant").join(shared, "variant").where("key != v").select(F.col("key").alias("u"), "v").distinct()
+
+
 def rooted(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, mark, node, root) of every row: its fingerprint and the one that its component is named by."""
     prints = durable(fingerprints(docs, key, size), "prints")

@@ -48,3 +48,48 @@ def test_stage_drops_near_copies_like_brute_force(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
     assert kept == set(label.values())
     assert len(kept) < simhash.one_of_each(docs).count()
+
+
+def test_stage_links_by_simhash_first(spark, monkeypatch):
+    rng, rows = random.Random(7), []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(400)] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    prints = dict(zip(range(80), simhash.fingerprint_batch([t for _, t in rows]).tolist(), strict=True))
+    close = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 5}
+    assert len(close) >= 20
+    taken = {}
+    meetings, still_open = copies.meetings, copies.still_open
+
+    def ball_links(posts, found):
+        taken.setdefault("links", {tuple(sorted(r)) for r in found.collect()})
+        return still_open(posts, found)
+
+    def balls(nodes):
+        taken["doc_of"] = {r.key: (r.doc_id, r.fp & (1 << 64) - 1) for r in nodes.collect()}
+        return meetings(nodes)
+
+    monkeypatch.setattr(copies, "meetings", balls)
+    monkeypatch.setattr(copies, "still_open", ball_links)
+    docs = spark.createDataFrame([(k, t, "a", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert dict(taken["doc_of"].values()) == prints
+    assert {tuple(sorted(taken["doc_of"][x][0] for x in pair)) for pair in taken["links"]} >= close
+    assert kept == set(brute(rows).values())
+
+
+def test_many_alike_without_meeting(spark):
+    """A large group of copies that all differ, which balls join in part only, is one group; its shared lines join no others."""
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(3000)}" for _ in range(60)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        words[rng.randrange(56)] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, " ".join(base[:20] + [f"o{k}x{i}" for i in range(30)])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()}
+    assert got == brute(rows)

@@ -73,3 +73,16 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(1, text), (2, text + "x"), (3, text)], "doc_id long, text string")
     got = {r.doc_id: r for r in simhash.digests(docs).collect()}
     assert got[1].fingerprint == f"{brute_print('many words ' * 3):016x}" and got[3].component_id == 1
+
+
+def test_meetings_join_all_within_five_bits(spark):
+    rng, prints = random.Random(9), [0, (1 << 64) - 1, 1 << 63]
+    for _ in range(150):
+        x = rng.getrandbits(64)
+        prints += [x, x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7)))]
+    rows = [(k, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(prints)]
+    met = {(r.u, r.v) for r in simhash.meetings(spark.createDataFrame(rows, "key long, fp long")).collect()}
+    close = {(b, a) for a, x in enumerate(prints) for b, y in enumerate(prints) if a < b and (x ^ y).bit_count() <= 5}
+    assert close <= met and all(u > v for u, v in met)
+    near = {0} | {1 << a | 1 << b for a in range(32) for b in range(32)}
+    assert all(any((prints[u] ^ prints[v]) >> s & (1 << 32) - 1 in near for s in (0, 32)) for u, v in met)
