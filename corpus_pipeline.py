@@ -16,23 +16,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import copies, langid, packing, substring, toxicity
-from millrace.llm.common import durable, table
+from millrace.llm.common import durable, shrink, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict as toxic."""
+    shrink(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
+    shrink(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates: 5-word shingles, similarity 0.8."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates: candidates by SimHash, verified on 5-word
+    shingles at a similarity of 0.8, and by an exact filter what SimHash doesn't reach."""
+    shrink(spark)
     return copies.one_of_each(docs)
 
 
@@ -40,11 +44,13 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, without passages that occur elsewhere, too. n_chars follows the text."""
     from pyspark.sql import functions as F
 
+    shrink(spark)
     return substring.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all documents."""
+    shrink(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

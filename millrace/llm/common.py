@@ -213,3 +213,11 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _released = time.monotonic()
+
+
+def shrink(spark: SparkSession) -> None:
+    """Have executors return heap that they don't use to the system, which a long run's workers need beside it."""
+    context = spark.sparkContext
+    if not context._jsc.sc().isLocal():
+        n = 2 * context.defaultParallelism  # a task for each core, and one for those that come late
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()

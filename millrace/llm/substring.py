@@ -35,7 +35,11 @@ BATCHES, RUNS_OF_TABLE = 2, 1
 #: Runs above which an index compacts, where nothing else is said.
 MOST_RUNS = 8
 #: Distinct words that a task remembers before it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
+#: Bytes of text that are split into words at once.
+WORD_BYTES = 1 << 20
+#: Windows whose anchors are sought at once.
+PLACES = 1 << 14
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -89,9 +93,9 @@ def anchors(lanes: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tuple
     start = np.flatnonzero(doc[window - 1 :] == doc[:n])
     view = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
     at = np.empty(len(start), np.int64)
-    for i in range(0, len(start), 1 << 18):
-        part = start[i : i + (1 << 18)]
-        at[i : i + (1 << 18)] = part + view[part].argmin(axis=1)
+    for i in range(0, len(start), PLACES):
+        part = start[i : i + PLACES]
+        at[i : i + PLACES] = part + view[part].argmin(axis=1)
     return start, at, grams
 
 
@@ -124,7 +128,7 @@ def sketches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         return call
 
     schema = "doc_id long, mark long, n_words long, whole_sha256 string, hashes array<long>"
-    return map_texts(marked(docs), make, schema, more=("mark",))
+    return map_texts(marked(docs), make, schema, limit=WORD_BYTES, more=("mark",))
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -264,7 +268,7 @@ def windows(candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
         return call
 
-    return map_texts(candidates, make, "doc_id long, mark long, start int, h1 long, h2 long", more=("mark", "hashes"))
+    return map_texts(candidates, make, "doc_id long, mark long, start int, h1 long, h2 long", limit=WORD_BYTES, more=("mark", "hashes"))
 
 
 def removed(n: int, starts: list[int] | None, window: int) -> np.ndarray:

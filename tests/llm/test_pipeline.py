@@ -78,3 +78,13 @@ def test_stages_with_repeated_ids_and_columns_of_any_name(spark, tmp_path):
         if name == "near_duplicates":
             assert len({(r.doc_id, r.text) for r in rows}) == len(rows) and sum(r.doc_id == 8 for r in rows) == 1
     assert corpus_pipeline.packing_stage(spark, twice, str(tmp_path)).select("doc_id").distinct().count() == docs.count()
+
+
+def test_every_stage_has_executors_give_heap_back(spark, tmp_path, monkeypatch):
+    folder(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        calls = []
+        monkeypatch.setattr(corpus_pipeline, "shrink", calls.append)
+        stage(spark, docs, str(tmp_path))
+        assert calls == [spark], name

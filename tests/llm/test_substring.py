@@ -86,3 +86,18 @@ def test_columns_of_any_name_and_repeated_rows(spark):
     got = substring.without_repeats(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text, r.mark) for r in got.collect() if r.text is not None) == [(1, "", 1), (1, "", 1), (1, "b", 5)]
+
+
+def test_anchors_take_little_memory_beside_the_words():
+    import tracemalloc
+
+    import numpy as np
+
+    lanes, doc = np.random.default_rng(3).integers(0, 1 << 63, (250_000, 2), np.uint64), np.zeros(250_000, np.int64)
+    tracemalloc.start()
+    start, at, grams = substring.anchors(lanes, doc, 35, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and len(start) == 250_000 - 34
+    for i in (0, 16_383, 16_384, 100_000, len(start) - 1):
+        assert at[i] == i + grams[i : i + 20].argmin()
